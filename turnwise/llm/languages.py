@@ -119,7 +119,7 @@ def _spliced(rng: np.random.Generator, pools: dict[int, np.ndarray], batch: int,
     return x.T, y.T
 
 
-def train(documents: DataFrame, per_language: int = 240, shards: int = 6, rounds: int = 5, steps: int = 50, hidden: int = 32, width: int = 96, batch: int = 96, rate: float = 0.012, trust_after: int = 3) -> bytes | None:
+def train(documents: DataFrame, per_language: int = 300, shards: int = 6, rounds: int = 7, steps: int = 70, hidden: int = 32, width: int = 96, batch: int = 96, rate: float = 0.012, trust_after: int = 3) -> bytes | None:
     """The packed weights of a network trained on a sample of ``documents``; None where nothing is labelled."""
     codes = sorted(NAMES)
     sample = cut(training_sample(documents, per_language, shards), "sample")
@@ -201,7 +201,7 @@ def _path(score: np.ndarray, change: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments_of(score: np.ndarray, letters: np.ndarray, unit: np.ndarray, least_words: int, least_letters: int, long_unit: int = 10, inside: float = 16.0, between: float = 5.0) -> list[tuple[int, int, int, float]]:
+def segments_of(score: np.ndarray, letters: np.ndarray, unit: np.ndarray, least_words: int, least_letters: int, long_unit: int = 10, inside: float = 16.0, between: float = 10.0) -> list[tuple[int, int, int, float]]:
     """``(first word, last word, class, confidence)`` of each segment of one text.
 
     ``score``: mean log-probabilities per word; ``unit``: sentence number per word.

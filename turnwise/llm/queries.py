@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import encode, mixing, neighbours, splits, terms, topn
+from turnwise.llm import encode, languages, mixing, neighbours, splits, terms, topn
 from turnwise.sources.tables import table
 
 
@@ -67,8 +67,25 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(*_mix(spark, d))
 
 
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return languages.label_segments(documents, languages.train(documents))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.wrong_or_mixed(_segments(spark, d)).select("doc_id", "seg_no", "lang")
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).drop("named", "segments")
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    return languages.document_languages(_segments(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_splits, p4_found, p5_found, p6_ids, p6_decoded, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_splits, p4_found, p5_found, p6_ids, p6_decoded, p7_found, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
 
 
 _TERMS = r"""
