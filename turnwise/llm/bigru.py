@@ -54,9 +54,12 @@ def log_probabilities(p: Params, x: np.ndarray) -> np.ndarray:
     f, _ = _direction(p, "f", x, False)
     b, _ = _direction(p, "b", x[::-1], False)
     size = f.shape[2]
-    z = f @ p["V"][:size] + b[::-1] @ p["V"][size:] + p["c"]
-    z -= z.max(2, keepdims=True)
-    return z - np.log(np.exp(z).sum(2, keepdims=True))
+    flat = f.reshape(-1, size) @ p["V"][:size]
+    flat += b[::-1].reshape(-1, size) @ p["V"][size:]
+    flat += p["c"]
+    flat -= flat.max(1, keepdims=True)
+    flat -= np.log(np.exp(flat).sum(1, keepdims=True))
+    return flat.reshape(*x.shape, -1)
 
 
 def _back(p: Params, d: str, x: np.ndarray, tape: list, dout: np.ndarray, grad: Params) -> None:
@@ -87,22 +90,21 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tu
     """Mean weighted cross-entropy over positions and its gradients; ``y`` and ``weight`` are (time, batch)."""
     f, tf = _direction(p, "f", x, True)
     b, tb = _direction(p, "b", x[::-1], True)
-    both = np.concatenate([f, b[::-1]], 2)
-    z = both @ p["V"] + p["c"]
-    z -= z.max(2, keepdims=True)
-    e = np.exp(z)
-    prob = e / e.sum(2, keepdims=True)
-    total = max(float(weight.sum()), 1.0)
-    t, s = np.indices(y.shape)
-    loss = float(-(np.log(prob[t, s, y] + 1e-9) * weight).sum() / total)
-    dz = prob
-    dz[t, s, y] -= 1
-    dz *= (weight / total)[:, :, None]
-    grad: Params = {"V": both.reshape(-1, both.shape[2]).T @ dz.reshape(-1, dz.shape[2]), "c": dz.sum((0, 1))}
-    dboth = dz @ p["V"].T
     size = f.shape[2]
-    _back(p, "f", x, tf, dboth[:, :, :size], grad)
-    _back(p, "b", x[::-1], tb, dboth[::-1, :, size:], grad)
+    both = np.concatenate([f, b[::-1]], 2).reshape(-1, 2 * size)
+    z = both @ p["V"] + p["c"]
+    z -= z.max(1, keepdims=True)
+    prob = np.exp(z)
+    prob /= prob.sum(1, keepdims=True)
+    share = (weight / max(float(weight.sum()), 1.0)).ravel()
+    rows, true = np.arange(len(prob)), y.ravel()
+    loss = float(-(np.log(prob[rows, true] + 1e-9) * share).sum())
+    prob[rows, true] -= 1
+    prob *= share[:, None]
+    grad: Params = {"V": both.T @ prob, "c": prob.sum(0)}
+    dboth = (prob @ p["V"].T).reshape(*x.shape, 2 * size)
+    _back(p, "f", x, tf, np.ascontiguousarray(dboth[:, :, :size]), grad)
+    _back(p, "b", x[::-1], tb, np.ascontiguousarray(dboth[::-1, :, size:]), grad)
     return loss, grad
 
 

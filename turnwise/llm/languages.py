@@ -119,7 +119,7 @@ def _spliced(rng: np.random.Generator, pools: dict[int, np.ndarray], batch: int,
     return x.T, y.T
 
 
-def train(documents: DataFrame, per_language: int = 300, shards: int = 6, rounds: int = 7, steps: int = 70, hidden: int = 32, width: int = 96, batch: int = 96, rate: float = 0.012, trust_after: int = 3) -> bytes | None:
+def train(documents: DataFrame, per_language: int = 300, shards: int = 6, rounds: int = 7, steps: int = 70, hidden: int = 32, width: int = 96, batch: int = 48, rate: float = 0.012, trust_after: int = 3) -> bytes | None:
     """The packed weights of a network trained on a sample of ``documents``; None where nothing is labelled."""
     codes = sorted(NAMES)
     sample = cut(training_sample(documents, per_language, shards), "sample")
