@@ -27,6 +27,8 @@ trained and no text has a segment.
 from __future__ import annotations
 
 import re
+import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,9 +55,34 @@ NO_EVIDENCE = re.compile(
     | (?<![^\s(])[‘'][^‘’'.!?\n](?:[^‘'.!?\n]|'(?=\w)){0,60}?[’'](?![^\s.,;:!?)])""",
     re.VERBOSE,
 )
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+WORD = re.compile(r"[^\W\d_]+(?:[\x00'’]+[^\W\d_]+)*")
 SENTENCE_END = re.compile(r"\n|[.!?…]+(?=\s|$)")
 
+#: Characters that stand for the bytes 0x80 to 0xBF where UTF-8 was read as a Western one-byte encoding.
+_CONTINUED = {bytes([b]).decode("cp1252"): b for b in range(0x80, 0xC0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)} | {chr(b): b for b in range(0x80, 0xC0)}
+_TAIL = "[" + "".join(map(re.escape, _CONTINUED)) + "]"
+MISREAD = re.compile(f"[ÂÃÄÅÐÑ]{_TAIL}|[â]{_TAIL}{{2}}")
+
+
+def repaired(text: str) -> str:
+    """Text whose UTF-8 was read as a one-byte encoding, put right; NUL characters keep the places.
+
+    Only where it happens three times or more, or with three characters, as a
+    single pair may be meant.
+    """
+    found = MISREAD.findall(text)
+    if len(found) < 3 and not any(len(m) > 2 for m in found):
+        return text
+
+    def right(m: re.Match) -> str:
+        try:
+            c = bytes([ord(m[0][0]), *(_CONTINUED[x] for x in m[0][1:])]).decode()
+        except UnicodeDecodeError:
+            return m[0]
+        return c + "\x00" * (len(m[0]) - 1)
+
+    return MISREAD.sub(right, text)
+
 
 def named_language(label: Column) -> Column:
     """The two-letter code that a label names, or null: code or name in any case, blanks and region aside."""
@@ -70,6 +97,7 @@ def named_language(label: Column) -> Column:
 
 def blanked(text: str) -> str:
     """The text in lower case with what is no evidence as spaces; every character keeps its place."""
+    text = repaired(text)
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -77,10 +105,10 @@ def blanked(text: str) -> str:
 
 
 def _bytes(text: str, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """UTF-8 without repeated spaces, and the owner of every byte from that of its character."""
+    """UTF-8 without repeated spaces and NULs, and the owner of every byte from that of its character."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    keep = np.ones(len(raw), bool)
-    keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32)
+    keep = raw != 0
+    keep[1:] &= (raw[1:] != 32) | (raw[:-1] != 32)
     if owner is None:
         return raw[keep], None
     c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
@@ -99,10 +127,14 @@ def _windows(pdf: pd.DataFrame, codes: list[str], width: int) -> dict[int, np.nd
     """Windows of bytes by language number."""
     out: dict[int, list[np.ndarray]] = {}
     for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-        raw, _ = _bytes(blanked(text))
-        n = len(raw) // width
-        if n:
-            out.setdefault(codes.index(lang), []).append(raw[: n * width].reshape(n, width))
+        clean = blanked(text)
+        # a third of the texts also without accents, which many documents have lost
+        plain = unicodedata.normalize("NFKD", clean) if zlib.crc32(clean.encode()) % 3 == 0 else ""
+        for t in (clean, "".join(c for c in plain if not unicodedata.combining(c))):
+            raw, _ = _bytes(t)
+            n = len(raw) // width
+            if n:
+                out.setdefault(codes.index(lang), []).append(raw[: n * width].reshape(n, width))
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
@@ -119,7 +151,7 @@ def _spliced(rng: np.random.Generator, pools: dict[int, np.ndarray], batch: int,
     return x.T, y.T
 
 
-def train(documents: DataFrame, per_language: int = 300, shards: int = 6, rounds: int = 7, steps: int = 70, hidden: int = 32, width: int = 96, batch: int = 48, rate: float = 0.012, trust_after: int = 3) -> bytes | None:
+def train(documents: DataFrame, per_language: int = 300, shards: int = 6, rounds: int = 6, steps: int = 60, hidden: int = 32, width: int = 96, batch: int = 48, rate: float = 0.012, trust_after: int = 3) -> bytes | None:
     """The packed weights of a network trained on a sample of ``documents``; None where nothing is labelled."""
     codes = sorted(NAMES)
     sample = cut(training_sample(documents, per_language, shards), "sample")
@@ -127,9 +159,9 @@ def train(documents: DataFrame, per_language: int = 300, shards: int = 6, rounds
     weights = bigru.packed(like)
 
     def local(turn: int, current: bytes):
-        def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        def fit(shard: int, pdf: pd.DataFrame) -> tuple[bytes, int]:
             p = bigru.unpacked(current, like)
-            rng = np.random.default_rng([turn, int(key[0])])
+            rng = np.random.default_rng([turn, shard])
             pools = _windows(pdf.sort_values(["lang", "text"]), codes, width)
             if turn >= trust_after:
                 trusted = {}
@@ -145,12 +177,21 @@ def train(documents: DataFrame, per_language: int = 300, shards: int = 6, rounds
                     x, y = _spliced(rng, pools, batch, width)
                     _, grad = bigru.gradients(p, x, y, np.ones(x.shape, np.float32))
                     adam.step(p, grad)
-            return pd.DataFrame({"weights": [bigru.packed(p)], "windows": [sum(map(len, pools.values()))]})
+            return bigru.packed(p), sum(map(len, pools.values()))
+
+        def fit_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = list(frames)
+            if held:
+                for shard, part in pd.concat(held).groupby("shard"):
+                    w, n = fit(int(shard), part)
+                    yield pd.DataFrame({"weights": [w], "windows": [n]})
 
-        return fit
+        return fit_all
 
+    # ranges of the shard number, one per task: small inputs are not put together
+    spread = sample.repartitionByRange(shards, "shard")
     for turn in range(rounds):
-        parts = sample.groupBy("shard").applyInPandas(local(turn, weights), "weights binary, windows long").collect()  # shards sets of weights
+        parts = spread.mapInPandas(local(turn, weights), "weights binary, windows long").collect()  # shards sets of weights
         parts = [bytes(r.weights) for r in parts if r.windows]
         if not parts:
             return None
@@ -158,6 +199,12 @@ def train(documents: DataFrame, per_language: int = 300, shards: int = 6, rounds
     return weights
 
 
+def _for_all_cores(rows: DataFrame) -> DataFrame:
+    """``rows`` in two pieces per core at least: here work outweighs the shuffle of a small input."""
+    want = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= want else rows.repartition(want)
+
+
 def _word_scores(p: bigru.Params, texts: list[tuple[np.ndarray, np.ndarray, int]], classes: int, width: int = 128, context: int = 16, group: int = 512) -> list[np.ndarray]:
     """Per text the mean log-probabilities (words, classes) of each word's bytes.
 
@@ -201,7 +248,7 @@ def _path(score: np.ndarray, change: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments_of(score: np.ndarray, letters: np.ndarray, unit: np.ndarray, least_words: int, least_letters: int, long_unit: int = 10, inside: float = 16.0, between: float = 10.0) -> list[tuple[int, int, int, float]]:
+def segments_of(score: np.ndarray, letters: np.ndarray, unit: np.ndarray, least_words: int, least_letters: int, long_unit: int = 10, inside: float = 24.0, between: float = 10.0) -> list[tuple[int, int, int, float]]:
     """``(first word, last word, class, confidence)`` of each segment of one text.
 
     ``score``: mean log-probabilities per word; ``unit``: sentence number per word.
@@ -215,7 +262,7 @@ def segments_of(score: np.ndarray, letters: np.ndarray, unit: np.ndarray, least_
     # where a long sentence disagrees with itself, its words are looked at one by one
     own = sums.argmax(1)
     agree = np.add.reduceat((evidence.argmax(1) == np.repeat(own, ends - firsts)).astype(float), firsts) / (ends - firsts)
-    open_unit = (ends - firsts > long_unit) & (agree < 0.9)
+    open_unit = (ends - firsts > long_unit) & (agree < 0.8)
     rows, costs, spans = [], [], []
     for k, (a, b) in enumerate(zip(firsts, ends, strict=True)):
         if open_unit[k]:
@@ -299,7 +346,7 @@ def label_segments(documents: DataFrame, weights: bytes | None, hidden: int = 32
                     yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     rows = documents.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), named_language(F.col(lang)).alias("named"))
-    return rows.mapInArrow(run, SEGMENTS)
+    return _for_all_cores(rows).mapInArrow(run, SEGMENTS)
 
 
 def document_languages(segments: DataFrame) -> DataFrame:
