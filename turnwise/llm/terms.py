@@ -38,7 +38,8 @@ def sessions_of(questions: DataFrame, ids: str = "haystack_session_ids", session
     map-side part of the aggregate, so a session listed by every question sends
     one row per task.
     """
-    pairs = questions.select(F.explode(F.arrays_zip(F.col(ids).alias("id"), F.col(sessions).alias("turns"))).alias("p")).where("p.id is not null")
+    none = F.array().cast(questions.schema[sessions].dataType)  # a null list still leaves its ids
+    pairs = questions.select(F.explode(F.arrays_zip(F.col(ids).alias("id"), F.coalesce(sessions, none).alias("turns"))).alias("p")).where("p.id is not null")
     said = F.array_join(F.transform(F.col("p.turns"), lambda t: F.coalesce(t["content"], t["text"], F.lit(""))), "\n")
     text = F.coalesce(said, F.lit(""))
     return (
