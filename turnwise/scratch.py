@@ -11,7 +11,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
 
@@ -52,6 +53,13 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def cut_counted(df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows, observed while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete the files behind a ``cut`` result that nothing reads any more."""
     path = getattr(df, "_turnwise_path", None)
