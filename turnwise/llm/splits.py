@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.operators.skew import hot_keys, salted_join
-from turnwise.scratch import cut, drop
+from turnwise.scratch import cut, cut_counted, drop
 
 #: "D<n>" or "<sample>/D<n>", any case of the D, outer blanks, leading zeros, a turn at the end.
 GOLD = r"^\s*(?:(.*\S)\s*/\s*)?[dD]0*([0-9]{1,18})(?::[0-9]+)?\s*$"
@@ -93,16 +93,16 @@ def components(edges: DataFrame, rate: int = 8, max_rounds: int = 64, small: int
     if it has at most ``small`` pairs (counted), else by the same steps again.
     """
     edges = edges.where("a is not null and b is not null")
-    both = cut(_both_ways(edges.where("a <> b")), "edges")
+    both, n = cut_counted(_both_ways(edges.where("a <> b")), "edges")
     maps: list[DataFrame] = []
-    while not both.isEmpty():
-        labels, pairs = _expand(both, len(maps), rate, max_rounds, hot_rows)
+    while n:
+        labels, pairs, met = _expand(both, len(maps), rate, max_rounds, hot_rows)
         maps.append(labels)
-        if pairs.count() <= small:
+        if met <= small:
             maps.append(cut(_merged(pairs), "merged"))
             break
         drop(both)
-        both = cut(_both_ways(pairs), "edges")
+        both, n = cut_counted(_both_ways(pairs), "edges")
     alone = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     if not maps:
         return alone.select("node", F.col("node").alias("component"))
@@ -112,8 +112,8 @@ def components(edges: DataFrame, rate: int = 8, max_rounds: int = 64, small: int
     return out.unionByName(alone.join(maps[0], "node", "left_anti").select("node", F.col("node").alias("label"))).withColumnRenamed("label", "component")
 
 
-def _expand(both: DataFrame, level: int, rate: int, max_rounds: int, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """One breadth-first pass: ``labels(node, label)`` for every node, and the distinct pairs of labels that meet.
+def _expand(both: DataFrame, level: int, rate: int, max_rounds: int, hot_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """One breadth-first pass: ``labels(node, label)`` for every node, the distinct pairs of labels that meet, and their number.
 
     Each round joins the frontier with the edges of its nodes and keeps the least
     seed per new node. Where a round reaches nothing new, nodes with the smallest
@@ -134,23 +134,23 @@ def _expand(both: DataFrame, level: int, rate: int, max_rounds: int, hot_rows: i
     labels = frontier
     for turn in range(10**6):
         fresh = adjacency.join(every_salt(frontier), ["a", "salt"]).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label")).join(labels, "node", "left_anti")
-        fresh = cut(fresh, "front")
-        if fresh.isEmpty():
+        fresh, n = cut_counted(fresh, "front")
+        if not n:
             left = nodes.join(labels, "node", "left_anti")
             if turn < max_rounds:  # of the nodes left, those with the smallest hash around them start anew
                 rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(level)), F.col(c))
                 around = adjacency.join(left.withColumnRenamed("node", "a"), "a", "left_semi").groupBy("a").agg(F.min(rank("b")).alias("m"))
                 left = around.where(rank("a") < F.col("m")).select(F.col("a").alias("node"))
-            fresh = cut(left.select("node", F.col("node").alias("label")), "front")
-            if fresh.isEmpty():
+            fresh, n = cut_counted(left.select("node", F.col("node").alias("label")), "front")
+            if not n:
                 break
         labels, frontier = labels.unionByName(fresh), fresh
     ends = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     met = adjacency.where("a < b").join(every_salt(ends[0].withColumnRenamed("a", "node")), ["a", "salt"]).join(ends[1], "b")
     pairs = met.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-    out = cut(pairs, "pairs")
+    out, n = cut_counted(pairs, "pairs")
     adjacency.unpersist()
-    return labels, out
+    return labels, out, n
 
 
 def linked_records(examples: DataFrame, conversations: DataFrame, **how) -> DataFrame:
