@@ -23,43 +23,80 @@ def start(hidden: int, classes: int, seed: int = 5) -> Params:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.multiply(x, 0.5, out=x)
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
+def _tanh(x: np.ndarray, s: np.ndarray, top: np.ndarray) -> None:
+    """Hyperbolic tangent in place, by its continued fraction to seven terms (error below 1e-4).
+
+    Faster than ``np.tanh`` where that is not vectorised. ``s`` and ``top`` are
+    buffers of the same shape.
+    """
+    np.minimum(x, 4.9, out=x)
+    np.maximum(x, -4.9, out=x)
+    np.multiply(x, x, out=s)
+    np.add(s, 378, out=top)
+    top *= s
+    top += 17325
+    top *= s
+    top += 135135
+    x *= top
+    np.multiply(s, 28, out=top)
+    top += 3150
+    top *= s
+    top += 62370
+    top *= s
+    top += 135135
+    x /= top
 
 
 def _direction(p: Params, d: str, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """Hidden states (time, batch, hidden) in the order of ``x``, and what the backward pass needs."""
     w, u, nb = p["W" + d], p["U" + d], p["n" + d]
-    size = u.shape[0]
-    h = np.zeros((x.shape[1], size), np.float32)
+    size, rows = u.shape[0], x.shape[1]
+    # a sigmoid is half a tangent of half its argument
+    w1, w2 = np.ascontiguousarray(w[:, : 2 * size] * np.float32(0.5)), np.ascontiguousarray(w[:, 2 * size :])
+    u1, u2 = np.ascontiguousarray(u[:, : 2 * size] * np.float32(0.5)), np.ascontiguousarray(u[:, 2 * size :])
+    h = np.zeros((rows, size), np.float32)
     out, tape = np.empty((*x.shape, size), np.float32), []
+    wide, slim = ([np.empty((rows, k * size), np.float32) for _ in range(3)] for k in (2, 1))
+    m = np.empty((rows, size), np.float32)
     for t in range(len(x)):
-        g, a = w[x[t]], h @ u
-        rz = _sigmoid(g[:, : 2 * size] + a[:, : 2 * size])
-        m = a[:, 2 * size :] + nb
-        n = np.tanh(g[:, 2 * size :] + rz[:, :size] * m)
-        new = n + rz[:, size:] * (h - n)
+        if keep:
+            wide[0], slim[0], m = np.empty_like(wide[0]), np.empty_like(slim[0]), np.empty_like(m)
+        rz, n = wide[0], slim[0]
+        np.matmul(h, u1, out=rz)
+        np.take(w1, x[t], 0, out=wide[1], mode="clip")
+        rz += wide[1]
+        _tanh(rz, wide[1], wide[2])
+        rz += 1
+        rz *= 0.5
+        np.matmul(h, u2, out=m)
+        m += nb
+        np.multiply(rz[:, :size], m, out=n)
+        np.take(w2, x[t], 0, out=slim[1], mode="clip")
+        n += slim[1]
+        _tanh(n, slim[1], slim[2])
+        new = out[t]
+        np.subtract(h, n, out=new)
+        new *= rz[:, size:]
+        new += n
         if keep:
             tape.append((h, rz, m, n))
-        out[t] = h = new
+        h = new
     return out, tape
 
 
-def log_probabilities(p: Params, x: np.ndarray) -> np.ndarray:
-    """(time, batch, classes) for windows ``x`` (time, batch) of byte values."""
+def log_probabilities(p: Params, x: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """(time, batch, classes) for windows ``x`` (time, batch) of byte values, for positions from ``lo`` to ``hi``."""
     f, _ = _direction(p, "f", x, False)
     b, _ = _direction(p, "b", x[::-1], False)
     size = f.shape[2]
-    flat = f.reshape(-1, size) @ p["V"][:size]
-    flat += b[::-1].reshape(-1, size) @ p["V"][size:]
-    flat += p["c"]
-    flat -= flat.max(1, keepdims=True)
-    flat -= np.log(np.exp(flat).sum(1, keepdims=True))
-    return flat.reshape(*x.shape, -1)
+    f, b = f[lo:hi], b[::-1][lo:hi]
+    v = np.ascontiguousarray(p["V"].T)
+    z = v[:, :size] @ f.reshape(-1, size).T
+    z += v[:, size:] @ b.reshape(-1, size).T
+    z += p["c"][:, None]
+    z -= z.max(0)
+    z -= np.log(np.exp(z).sum(0))
+    return np.moveaxis(z.reshape(-1, len(f), x.shape[1]), 0, 2)
 
 
 def _back(p: Params, d: str, x: np.ndarray, tape: list, dout: np.ndarray, grad: Params) -> None:

@@ -151,7 +151,7 @@ def _spliced(rng: np.random.Generator, pools: dict[int, np.ndarray], batch: int,
     return x.T, y.T
 
 
-def train(documents: DataFrame, per_language: int = 300, shards: int = 6, rounds: int = 6, steps: int = 60, hidden: int = 32, width: int = 96, batch: int = 48, rate: float = 0.012, trust_after: int = 3) -> bytes | None:
+def train(documents: DataFrame, per_language: int = 300, shards: int = 6, rounds: int = 6, steps: int = 60, hidden: int = 24, width: int = 96, batch: int = 48, rate: float = 0.012, trust_after: int = 3) -> bytes | None:
     """The packed weights of a network trained on a sample of ``documents``; None where nothing is labelled."""
     codes = sorted(NAMES)
     sample = cut(training_sample(documents, per_language, shards), "sample")
@@ -205,7 +205,7 @@ def _for_all_cores(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= want else rows.repartition(want)
 
 
-def _word_scores(p: bigru.Params, texts: list[tuple[np.ndarray, np.ndarray, int]], classes: int, width: int = 128, context: int = 16, group: int = 512) -> list[np.ndarray]:
+def _word_scores(p: bigru.Params, texts: list[tuple[np.ndarray, np.ndarray, int]], classes: int, width: int = 240, context: int = 16, group: int = 512) -> list[np.ndarray]:
     """Per text the mean log-probabilities (words, classes) of each word's bytes.
 
     ``texts``: bytes, word number per byte (-1: none), number of words. Texts are
@@ -222,7 +222,7 @@ def _word_scores(p: bigru.Params, texts: list[tuple[np.ndarray, np.ndarray, int]
             lo = max(0, at - context)
             piece = texts[i][0][lo : at + width + context]
             x[row, context - (at - lo) :][: len(piece)] = piece
-        lp = bigru.log_probabilities(p, np.ascontiguousarray(x.T))[context : context + width]
+        lp = bigru.log_probabilities(p, np.ascontiguousarray(x.T), context, context + width)
         for row, (i, at) in enumerate(part):
             owner = texts[i][1][at : at + width]
             has = owner >= 0
@@ -248,19 +248,24 @@ def _path(score: np.ndarray, change: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments_of(score: np.ndarray, letters: np.ndarray, unit: np.ndarray, least_words: int, least_letters: int, long_unit: int = 10, inside: float = 24.0, between: float = 10.0) -> list[tuple[int, int, int, float]]:
+def segments_of(score: np.ndarray, letters: np.ndarray, unit: np.ndarray, least_words: int, least_letters: int, long_unit: int = 10, inside: float = 24.0, between: float = 14.0) -> list[tuple[int, int, int, float]]:
     """``(first word, last word, class, confidence)`` of each segment of one text.
 
     ``score``: mean log-probabilities per word; ``unit``: sentence number per word.
     """
     if not len(score):
         return []
-    evidence = np.maximum(score, -7) * np.minimum(letters, 8)[:, None] / 4
+    evidence = np.maximum(score, -4) * np.minimum(letters, 8)[:, None] / 4
     firsts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
     ends = np.append(firsts[1:], len(unit))
     sums = np.add.reduceat(evidence, firsts, axis=0)
     # where a long sentence disagrees with itself, its words are looked at one by one
     own = sums.argmax(1)
+    # a language that no sentence of the text shows clearly has to make up for it
+    mean = np.add.reduceat(np.exp(score), firsts, axis=0) / (ends - firsts)[:, None]
+    clear = (mean[ends - firsts >= least_words] > 0.8).any(0)
+    if clear.any():
+        sums[:, ~clear] -= between / 2
     agree = np.add.reduceat((evidence.argmax(1) == np.repeat(own, ends - firsts)).astype(float), firsts) / (ends - firsts)
     open_unit = (ends - firsts > long_unit) & (agree < 0.8)
     rows, costs, spans = [], [], []
@@ -301,7 +306,7 @@ def segments_of(score: np.ndarray, letters: np.ndarray, unit: np.ndarray, least_
 SEGMENTS = "doc_id long, named string, seg_no long, lang string, confidence double, start long, end long, segments long"
 
 
-def label_segments(documents: DataFrame, weights: bytes | None, hidden: int = 32, least_words: int = 3, least_letters: int = 12, chunk: int = 256, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def label_segments(documents: DataFrame, weights: bytes | None, hidden: int = 24, least_words: int = 3, least_letters: int = 12, chunk: int = 256, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per segment: ``doc_id, named, seg_no, lang, confidence, start, end, segments``.
 
     ``named`` is the language that the document's label names, ``start`` and
