@@ -60,6 +60,11 @@ def cut_counted(df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+def broadcast_if_small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows (counted before), else left to the planner."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete the files behind a ``cut`` result that nothing reads any more."""
     path = getattr(df, "_turnwise_path", None)
