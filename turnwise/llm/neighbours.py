@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.operators.skew import hot_keys
-from turnwise.scratch import cut
+from turnwise.scratch import broadcast_if_small, cut, cut_counted
 
 
 @dataclass(frozen=True)
@@ -172,7 +172,7 @@ def similar(queries: DataFrame, vectors: DataFrame, n_vectors: int, k: int = 5,
     tried = _entries(part(vectors), hasher, 1, 0).unionByName(_entries(part(queries), hasher, probes, 1)).select("bucket", "side")
     sizes = tried.groupBy("bucket").agg(*[(F.sum(F.when(F.col("side") == s, hot_share).otherwise(0))).alias(f"n{s}") for s in (0, 1)])
     split = [F.greatest(F.lit(1), F.ceil(F.col(f"n{s}") / block_rows)).cast("int").alias(f"s{s}") for s in (0, 1)]
-    hot = F.broadcast(cut(sizes.where(F.greatest("n0", "n1") > block_rows).select("bucket", *split), "hot"))  # at most one per block_rows entries
+    hot = broadcast_if_small(*cut_counted(sizes.where(F.greatest("n0", "n1") > block_rows).select("bucket", *split), "hot"))
     own = [F.coalesce(F.pmod(F.xxhash64("id"), F.col(f"s{s}")), F.lit(0)).cast("int") for s in (0, 1)]
     other = [F.sequence(F.lit(0), F.coalesce(F.col(f"s{1 - s}"), F.lit(1)) - 1) for s in (0, 1)]
     placed = both.join(hot, "bucket", "left").select("bucket", "side", "id", "code", F.when(F.col("side") == 0, own[0]).otherwise(own[1]).alias("mine"), F.explode(F.when(F.col("side") == 0, other[0]).otherwise(other[1])).alias("theirs"))
