@@ -31,6 +31,7 @@ def latest(rows: DataFrame, key: str, time: str) -> DataFrame:
 
 def _sessions(conversations: DataFrame) -> DataFrame:
     """``conv, sidx, items``: sessions of the latest valid conversation, with the list of their turns."""
+    conversations.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last value of a name counts
     held = latest(conversations.select("conv_idx", "received_at", "conversation"), "conv_idx", "received_at")
     fields = held.select(F.col("conv_idx").alias("conv"), F.explode(nested._as_map(F.try_parse_json("conversation"))).alias("k", "v")).where(F.col("k").rlike(nested.SESSION_KEY))
     opened = fields.select("conv", F.substring("k", 9, 18).cast("long").alias("sidx"), nested._as_object(F.col("v")).alias("v"))
