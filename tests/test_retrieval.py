@@ -145,3 +145,18 @@ def test_salted_join_equals_join(spark):
     assert [(r.k, r["__salts"]) for r in hot.collect()] == [(1, 5)]
     got = sorted(tuple(r) for r in salted_join(many, few, ["k"], F.col("v"), hot).select("k", "v", "w").collect())
     assert got == sorted(tuple(r) for r in many.join(few, "k").select("k", "v", "w").collect())
+
+
+def test_numbered_follows_the_key(spark):
+    df = spark.createDataFrame([(f"k{i:04d}", i) for i in reversed(range(500))], "k string, v long").repartition(7)
+    assert sorted((r.u, r.v) for r in stats.numbered(df, "k").collect()) == [(i, i) for i in range(500)]
+    assert stats.numbered(df.where("false"), "k").count() == 0
+
+
+def test_empty_tables(spark, haystack):
+    questions, turns, sessions = haystack
+    assert lexical.scores(questions, turns.where("false"), sessions).where("bm <> 0").count() == 0
+    assert lexical.scores(questions.where("false"), turns, sessions).count() == 0
+    none = scores(spark, [1.0]).where("false")
+    assert ranking.ranked(none).count() == 0 == ranking.metrics(ranking.ranked(none), spark.createDataFrame([(1, 1)], "qid long, sidx long")).count()
+    assert stats.paired_bootstrap(spark.createDataFrame([(1, 0, 0)], "conv long, a int, b int").where("false"), "conv", 10).first().n is None
