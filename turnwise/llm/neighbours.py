@@ -157,7 +157,7 @@ def _block_pairs(iq: np.ndarray, q: np.ndarray, eq: np.ndarray, ii: np.ndarray,
         yield iq[at + r], ii[c]
 
 
-def similar(queries: DataFrame, vectors: DataFrame, n_vectors: int, k: int = 5, least: float = 0.9, dim: int = 64, tables: int = 2, probes: int = 5, bucket_rows: int = 256, block_rows: int = 16_384, hot_share: int = 32) -> DataFrame:
+def similar(queries: DataFrame, vectors: DataFrame, n_vectors: int, k: int = 5, least: float = 0.9, dim: int = 64, tables: int = 2, probes: int = 8, bucket_rows: int = 256, block_rows: int = 16_384, hot_share: int = 32) -> DataFrame:
     """``qid, id, cosine, rank``: up to ``k`` vectors per query with cosine ``least`` or more.
 
     Both inputs have ``id`` and ``v`` (see ``usable``); ``n_vectors`` is about how
