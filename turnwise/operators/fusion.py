@@ -19,10 +19,11 @@ def standardised(scores: DataFrame, **signals: str) -> DataFrame:
     return scores.select("*", *[z_score(s).alias(n) for n, s in signals.items()])
 
 
-def weighted(alpha: Column | float, lexical: str = "zb", dense: str = "zd") -> Column:
+def weighted(alpha: Column | float, lexical: Column | str = "zb", dense: Column | str = "zd") -> Column:
     """``alpha`` times the lexical and the rest times the dense z-score."""
     a = F.lit(alpha)
-    return a * F.col(lexical) + (1 - a) * F.col(dense)
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return a * col(lexical) + (1 - a) * col(dense)
 
 
 def rank_by(signal: str, *keys: str) -> Column:

@@ -13,14 +13,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.functions.draws import draw
+from turnwise.operators import fusion
 
 
-def held_out_choice(hits: DataFrame, cluster: str = "conv", config: str = "config_id") -> DataFrame:
-    """``cluster, config, train_hits, train_n, hits, n``: the configuration with most hits elsewhere, the first of equal ones."""
-    own = hits.groupBy(cluster, config).agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
-    total = own.groupBy(config).agg(F.sum("hits").alias("all_hits"), F.sum("n").alias("all_n"))  # one row per configuration
-    rest = own.join(F.broadcast(total), config).select(cluster, config, (F.col("all_hits") - F.col("hits")).alias("train_hits"), (F.col("all_n") - F.col("n")).alias("train_n"), "hits", "n")
-    order = Window.partitionBy(cluster).orderBy(F.desc("train_hits"), config)
+def swept_hits(signals: DataFrame, gold: DataFrame, *keys: str, lexical: str = "zb", steps: int = 20, **dense: str) -> DataFrame:
+    """``keys, signal, alpha_id, hit`` for each ``signal=column`` and the weights ``alpha_id / steps``.
+
+    The candidates of a key stand in one array, so neither signals nor weights
+    multiply rows that are sorted or shuffled. Ties as in ``ranking.best``.
+    """
+    g = signals.join(gold.select("qid", "sidx", F.lit(1).alias("g")), ["qid", "sidx"], "left").withColumn("g", F.coalesce("g", F.lit(0)))
+    per = g.groupBy(*keys).agg(F.collect_list(F.struct("sidx", F.col(lexical).alias("l"), "g", *[F.col(c).alias(f"d_{n}") for n, c in dense.items()])).alias("c"))
+
+    def swept(name):
+        score = lambda x, a: fusion.weighted(a / steps, x["l"], x[f"d_{name}"])
+        best = lambda a: F.array_max(F.transform("c", lambda x: F.struct(F.round(score(x, a), 9).alias("s"), (-x["sidx"]).alias("b"), x["g"].alias("g"))))
+        return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda a: best(a)["g"])
+
+    each = per.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), swept(n).alias("h")) for n in dense])).alias("e"))
+    return each.select(*keys, "e.signal", F.posexplode("e.h").alias("alpha_id", "hit"))
+
+
+def held_out_choice(hits: DataFrame, cluster: str = "conv", config: str = "config_id", *by: str) -> DataFrame:
+    """``by, cluster, config, train_hits, train_n, hits, n``: the configuration with most hits elsewhere, the first of equal ones; a choice of its own for each ``by``."""
+    own = hits.groupBy(*by, cluster, config).agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
+    total = own.groupBy(*by, config).agg(F.sum("hits").alias("all_hits"), F.sum("n").alias("all_n"))  # one row per configuration
+    rest = own.join(F.broadcast(total), [*by, config]).select(*by, cluster, config, (F.col("all_hits") - F.col("hits")).alias("train_hits"), (F.col("all_n") - F.col("n")).alias("train_n"), "hits", "n")
+    order = Window.partitionBy(*by, cluster).orderBy(F.desc("train_hits"), config)
     return rest.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 

@@ -49,13 +49,13 @@ def _latest(name: str, key: str, vector: str, more: str = "") -> str:
     return f"SELECT {key}{more}, list_transform({vector}::DOUBLE[], lambda x: x / sqrt(list_inner_product({vector}::DOUBLE[], {vector}::DOUBLE[]))) AS v FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY encoded_at DESC NULLS LAST, {vector} DESC) AS n FROM {name} WHERE {key} IS NOT NULL) WHERE n = 1 AND {_VALID.format(v=vector)}"
 
 
-def _metrics(source: str) -> str:
+def _metrics(source: str, keys: str = "qid") -> str:
     """Steps from a ranking with ``qid, rk, g`` to metrics per query."""
     ideal = "list_sum(list_transform(range(1, least(5, n)::BIGINT + 1), lambda i: 1 / log2(i + 1)))"
-    return f"""SELECT qid, (in1)::INT AS hit1, CASE WHEN n > 0 THEN in1 / n ELSE 0.0 END AS recall1, CASE WHEN n > 0 THEN in3 / n ELSE 0.0 END AS recall3, CASE WHEN n > 0 THEN in5 / n ELSE 0.0 END AS recall5,
+    return f"""SELECT {keys}, (in1)::INT AS hit1, CASE WHEN n > 0 THEN in1 / n ELSE 0.0 END AS recall1, CASE WHEN n > 0 THEN in3 / n ELSE 0.0 END AS recall3, CASE WHEN n > 0 THEN in5 / n ELSE 0.0 END AS recall5,
  coalesce(1 / first, 0.0) AS mrr, CASE WHEN n > 0 THEN gain / {ideal} ELSE 0.0 END AS ndcg5 FROM (
- SELECT qid, sum(g) AS n, sum(CASE WHEN rk <= 1 THEN g ELSE 0 END) AS in1, sum(CASE WHEN rk <= 3 THEN g ELSE 0 END) AS in3, sum(CASE WHEN rk <= 5 THEN g ELSE 0 END) AS in5, min(CASE WHEN g = 1 THEN rk END) AS first,
- sum(CASE WHEN rk <= 5 AND g = 1 THEN 1 / log2(rk + 1) ELSE 0.0 END) AS gain FROM {source} GROUP BY qid)"""
+ SELECT {keys}, sum(g) AS n, sum(CASE WHEN rk <= 1 THEN g ELSE 0 END) AS in1, sum(CASE WHEN rk <= 3 THEN g ELSE 0 END) AS in3, sum(CASE WHEN rk <= 5 THEN g ELSE 0 END) AS in5, min(CASE WHEN g = 1 THEN rk END) AS first,
+ sum(CASE WHEN rk <= 5 AND g = 1 THEN 1 / log2(rk + 1) ELSE 0.0 END) AS gain FROM {source} GROUP BY {keys})"""
 
 
 def _bootstrap(pairs: str, unit: str) -> str:
@@ -123,6 +123,12 @@ STEPS = {
     "feats": "SELECT qid, " + ", ".join(f"CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0 END AS f_{n}" for n, c in _FEATURE_SQL.items()) + ", least(len(regexp_extract_all(q, '\\b[A-Z][a-z]{2,}\\b')), 4) / 4.0::DOUBLE AS f_n_caps, CASE WHEN regexp_matches(q, '[0-9]') THEN 1.0::DOUBLE ELSE 0.0 END AS f_has_num FROM (SELECT qid, coalesce(question, '') AS q, " + _tokens("question") + " AS toks FROM ex)",
     "pool_long": "SELECT c.qid, c.conv, c.sidx, zb, unnest(['max', 'top3', 'lse10', 'mean_sim']) AS pooler, unnest([coalesce(p.max, -9.0), coalesce(top3, -9.0), coalesce(lse10, -9.0), coalesce(mean_sim, -9.0)]) AS dense FROM cand c JOIN sig USING (qid, sidx) LEFT JOIN pools p ON p.qid = c.qid AND p.sidx = c.sidx",
     "pool_kinds": f"SELECT qid, conv, sidx, pooler, unnest(['dense', 'fused']) AS kind, unnest([dense, 0.6::DOUBLE * zb + (1 - 0.6::DOUBLE) * zp]) AS score FROM (SELECT *, {_z('dense', 'qid, pooler')} AS zp FROM pool_long)",
+    "lp_long": f"SELECT *, {_z('dense', 'qid, pooler')} AS zp FROM (SELECT qid, conv, sidx, zb, pooler, dense FROM pool_long UNION ALL SELECT qid, conv, sidx, zb, 'early', early FROM sig)",
+    "lp_top": f"SELECT * FROM (SELECT qid, conv, sidx, pooler, alpha_id, {_rank('score', 'qid, pooler, alpha_id')} AS rk FROM (SELECT qid, conv, sidx, pooler, a AS alpha_id, a / 20 * zb + (1 - a / 20) * zp AS score FROM lp_long, range(0, 21) r(a))) WHERE rk = 1",
+    "lp_own": "SELECT pooler, conv, alpha_id, count(g.qid) AS h FROM lp_top r LEFT JOIN gold g ON g.qid = r.qid AND g.sidx = r.sidx GROUP BY ALL",
+    "lp_choice": "SELECT pooler, conv, alpha_id FROM (SELECT o.pooler, o.conv, o.alpha_id, row_number() OVER (PARTITION BY o.pooler, o.conv ORDER BY (SELECT sum(x.h) FROM lp_own x WHERE x.pooler = o.pooler AND x.alpha_id = o.alpha_id AND x.conv <> o.conv) DESC, o.alpha_id) AS r FROM lp_own o) WHERE r = 1",
+    "lp_kinds": "SELECT qid, sidx, pooler, unnest(['dense', 'fused']) AS kind, unnest([dense, alpha_id / 20 * zb + (1 - alpha_id / 20) * zp]) AS score FROM lp_long JOIN lp_choice USING (pooler, conv)",
+    "lp_ranked": f"SELECT r.qid, pooler, kind, rk, CASE WHEN g.qid IS NULL THEN 0 ELSE 1 END AS g FROM (SELECT *, {_rank('score', 'qid, pooler, kind')} AS rk FROM lp_kinds) r LEFT JOIN gold g ON g.qid = r.qid AND g.sidx = r.sidx",
     "qh": f"SELECT qid, conv, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM (SELECT qid, conv, unnest({_tokens('question')}) AS t FROM ex)",
     "th": "SELECT conv, sidx, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM toks",
     "qx": "SELECT qid, conv, h % 64 AS i, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM qh GROUP BY ALL",
@@ -224,6 +230,7 @@ _FINAL = {
     "per_category": "SELECT category, CASE WHEN grouping(category) = 1 THEN 'all' ELSE coalesce(CASE category WHEN 1 THEN 'multi-hop' WHEN 2 THEN 'temporal' WHEN 3 THEN 'open-domain' WHEN 4 THEN 'single-hop' WHEN 5 THEN 'adversarial' END, '?') END AS name, count(*) AS n, round(avg(bm25), 6) AS bm25, round(avg(late), 6) AS late, round(avg(weighted), 6) AS weighted, round(100 * (avg(weighted) - avg(bm25)), 6) AS delta_pp FROM (SELECT w.*, category FROM wide w JOIN ex ON ex.qid = w.qid) GROUP BY GROUPING SETS ((category), ())",
     "length_buckets": "SELECT bucket, count(qid) AS n, round(avg(early), 6) AS early, round(avg(late), 6) AS late, round(100 * (avg(late) - avg(early)), 6) AS gap_pp FROM (SELECT unnest(['1', '2-3', '4-7', '8-15', '16+']) AS bucket, unnest([1, 2, 4, 8, 16]) AS lo, unnest([1, 3, 7, 15, 1000000000]) AS hi) b LEFT JOIN (SELECT w.*, coalesce(t, 0) AS t FROM wide w LEFT JOIN (SELECT g.qid, max(t) AS t FROM gold g JOIN ex USING (qid) JOIN (SELECT conv, sidx, count(*) AS t FROM turns GROUP BY ALL) s ON s.conv = ex.conv AND s.sidx = g.sidx GROUP BY g.qid) x ON x.qid = w.qid) y ON t BETWEEN lo AND hi GROUP BY bucket",
     "pooler_sweep": f"SELECT pooler, kind, count(*) AS n, sum(CASE WHEN g.qid IS NULL THEN 0 ELSE 1 END)::BIGINT AS hits FROM (SELECT *, {_rank('score', 'qid, pooler, kind')} AS rk FROM pool_kinds) r LEFT JOIN gold g ON g.qid = r.qid AND g.sidx = r.sidx WHERE rk = 1 GROUP BY ALL",
+    "loco_pooler_sweep": f"SELECT m.pooler, kind, {_MEANS}, any_value(CASE WHEN kind = 'fused' THEN a END)::DOUBLE AS median_alpha_id FROM ({_metrics('lp_ranked', 'qid, pooler, kind')}) m JOIN (SELECT pooler, quantile_cont(alpha_id, 0.5) AS a FROM lp_choice GROUP BY pooler) c ON c.pooler = m.pooler GROUP BY ALL",
     "query_features": "SELECT qid, " + ", ".join(f"f_{n} AS {n}" for n in ("short", "long", "temporal", "when", "would", "n_caps", "has_num")).replace(" AS when", ' AS "when"') + " FROM feats",
     "design_matrix": "SELECT s.qid, s.sidx, CASE WHEN g.qid IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y, 1.0::DOUBLE AS x00, round(zb, 6) AS x01, round(zd, 6) AS x02, " + "round(60.0::DOUBLE / (60 + rb), 6) AS x03, round(60.0::DOUBLE / (60 + rd), 6) AS x04, " + ", ".join(f"round(f_{n} * {z}, 6) AS x{5 + 7 * k + i:02d}" for k, z in enumerate(("zb", "zd")) for i, n in enumerate(("short", "long", "temporal", "when", "would", "n_caps", "has_num"))) + f" FROM (SELECT *, {_rank('bm')} AS rb, {_rank('mx')} AS rd FROM sig) s JOIN feats f ON f.qid = s.qid LEFT JOIN gold g ON g.qid = s.qid AND g.sidx = s.sidx",
     "token_f1": "SELECT qid, round(f1, 6) AS f1 FROM f1",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import text as tx
 from turnwise.operators import analysis, dense, fusion, learned, lexical, ranking, rerank, selection, stats
 from turnwise.plans.corpus import Challenges, Corpus
+from turnwise.scratch import broadcast_if_small, cut, cut_counted, drop
 from turnwise.sources import conversations as src
 from turnwise.sources.tables import table
 
@@ -343,6 +344,28 @@ def pooler_sweep(c: Corpus) -> DataFrame:
     return h.groupBy("pooler", "kind").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
 
 
+@_query
+def loco_pooler_sweep(c: Corpus) -> DataFrame:
+    """Every pooler and early pooling, alone and fused with the weight chosen on other conversations: all metrics and the median weight."""
+    names = [*dense.POOLERS, "early"]
+    pools = dense.with_missing(c.candidates, dense.pooled(c.sims), *dense.POOLERS)
+    both = pools.join(c.signals.select("qid", "sidx", "zb", "early"), ["qid", "sidx"])
+    z = cut(fusion.standardised(both, **{f"z_{p}": p for p in names}), "pools")
+    for done in (c.sims, c.signals):
+        drop(done)
+    hits = selection.swept_hits(z, c.gold, "qid", "conv", **{p: f"z_{p}" for p in names})
+    choice, n = cut_counted(selection.held_out_choice(hits, "conv", "alpha_id", "signal").select("signal", "conv", "alpha_id"), "choice")
+    weights = broadcast_if_small(choice.groupBy("conv").pivot("signal", names).agg(F.max(F.col("alpha_id") / 20)).select("conv", *[F.col(p).alias(f"a_{p}") for p in names]), n)
+    fused = z.join(weights, "conv").select("*", *[fusion.weighted(F.col(f"a_{p}"), dense=f"z_{p}").alias(f"f_{p}") for p in names])
+    # all ranks in one partitioning by question; of the metrics' rows only the first and the gold ones count
+    kinds = [(p, k, x) for p in names for k, x in (("dense", p), ("fused", f"f_{p}"))]
+    ranks = fused.join(c.gold.select("qid", "sidx", F.lit(1).alias("g")), ["qid", "sidx"], "left").select("qid", "conv", "sidx", "g", *[fusion.rank_by(x, "qid").alias(f"rk_{p}_{k}") for p, k, x in kinds])
+    long = ranks.select("qid", "sidx", "g", F.inline(F.array(*[F.struct(F.lit(p).alias("pooler"), F.lit(k).alias("kind"), F.col(f"rk_{p}_{k}").alias("rk")) for p, k, _ in kinds]))).where("rk = 1 or g = 1").drop("g")
+    m = ranking.averaged(ranking.metrics(long, c.gold, "qid", "pooler", "kind"), "pooler", "kind")
+    medians = choice.groupBy(F.col("signal").alias("pooler")).agg(F.percentile("alpha_id", 0.5).alias("alpha")).withColumn("kind", F.lit("fused"))
+    return m.join(F.broadcast(medians), ["pooler", "kind"], "left").select("pooler", "kind", "n", *[_r(x) for x in m.columns[3:]], F.col("alpha").alias("median_alpha_id"))
+
+
 # questions, answers, reranking, reading
 
 
