@@ -45,3 +45,11 @@ def test_held_out_choice_is_made_for_each_pooler(spark):
     hits = spark.createDataFrame(rows, "pooler string, conv string, config_id int, hit int")
     got = {(r.pooler, r.conv): r.config_id for r in selection.held_out_choice(hits, "conv", "config_id", "pooler").collect()}
     assert got == {("p", "a"): 1, ("p", "b"): 0, ("q", "a"): 0, ("q", "b"): 1}
+
+
+@here
+@pytest.mark.parametrize("name", ["loco_fusion_vs_late", "loco_fusion_late_vs_early", "loco_combiner_compare", "loco_per_category"])
+def test_held_out_fusion_equals_sql(spark, duck, name):  # noqa: F811
+    rows = equals_sql(spark, duck, name)
+    if name == "loco_combiner_compare":
+        assert {"loco", "loco_early", "weighted", "weighted_early"} < {r["method"] for r in rows}

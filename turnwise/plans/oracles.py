@@ -108,6 +108,10 @@ STEPS = {
     "method_scores": f"SELECT qid, conv, sidx, unnest(['bm25', 'early', 'late', 'rrf', 'weighted', 'weighted_early']) AS method, unnest([bm, early, mx, 1.0::DOUBLE / (60 + {_rank('bm')}) + 1.0::DOUBLE / (60 + {_rank('mx')}), 0.6::DOUBLE * zb + (1 - 0.6::DOUBLE) * zd, 0.6::DOUBLE * zb + (1 - 0.6::DOUBLE) * ze]) AS score FROM sig",
     "mhits": f"SELECT r.qid, r.conv, method, CASE WHEN g.qid IS NULL THEN 0 ELSE 1 END AS hit FROM (SELECT *, {_rank('score', 'qid, method')} AS rk FROM method_scores) r LEFT JOIN gold g ON g.qid = r.qid AND g.sidx = r.sidx WHERE rk = 1",
     "wide": "SELECT qid, any_value(conv) AS conv, max(CASE WHEN method = 'bm25' THEN hit END) AS bm25, max(CASE WHEN method = 'early' THEN hit END) AS early, max(CASE WHEN method = 'late' THEN hit END) AS late, max(CASE WHEN method = 'weighted' THEN hit END) AS weighted, max(CASE WHEN method = 'weighted_early' THEN hit END) AS weighted_early FROM mhits GROUP BY qid",
+    "eahits": f"SELECT r.qid, r.conv, alpha_id, CASE WHEN g.qid IS NULL THEN 0 ELSE 1 END AS hit FROM (SELECT qid, conv, sidx, alpha_id, {_rank('score', 'qid, alpha_id')} AS rk FROM (SELECT qid, conv, sidx, a AS alpha_id, a / 20 * zb + (1 - a / 20) * ze AS score FROM sig, range(0, 21) r(a))) r LEFT JOIN gold g ON g.qid = r.qid AND g.sidx = r.sidx WHERE rk = 1",
+    "eloco": "SELECT conv, alpha_id FROM (SELECT conv, alpha_id, row_number() OVER (PARTITION BY conv ORDER BY ah - h DESC, alpha_id) AS r FROM (SELECT conv, alpha_id, sum(hit) AS h FROM eahits GROUP BY ALL) o JOIN (SELECT alpha_id, sum(hit) AS ah FROM eahits GROUP BY ALL) t USING (alpha_id)) WHERE r = 1",
+    "lohits": "SELECT qid, conv, method, hit FROM mhits UNION ALL SELECT h.qid, h.conv, 'loco', h.hit FROM ahits h JOIN loco USING (conv, alpha_id) UNION ALL SELECT h.qid, h.conv, 'loco_early', h.hit FROM eahits h JOIN eloco USING (conv, alpha_id)",
+    "lowide": "SELECT qid, any_value(conv) AS conv, max(CASE WHEN method = 'bm25' THEN hit END) AS bm25, max(CASE WHEN method = 'late' THEN hit END) AS late, max(CASE WHEN method = 'loco' THEN hit END) AS loco, max(CASE WHEN method = 'loco_early' THEN hit END) AS loco_early FROM lohits GROUP BY qid",
     "configs": "SELECT (row_number() OVER (ORDER BY vi, k1, b) - 1)::INT AS config_id, vi, k1::DOUBLE AS k1, b::DOUBLE AS b FROM (SELECT unnest([0, 1]) AS vi), (SELECT unnest([0.5, 0.8, 1.0, 1.2, 1.5, 1.8, 2.0, 2.5, 3.0, 4.0]) AS k1), (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9, 1.0]) AS b)",
     "grid": "SELECT qid, conv, sidx, config_id, sum(CASE WHEN vi = 0 THEN idf * (f * (k1 + 1)) / (f + k1 * ((1 - b) + b * rel)) ELSE idf * (k1 + 1) * (f / ((1 - b) + b * rel) + 0.5) / (k1 + f / ((1 - b) + b * rel) + 0.5) END) AS bm FROM matched, configs GROUP BY ALL",
     "gtop": f"SELECT qid, config_id, sidx, bm FROM (SELECT *, {_rank('bm', 'qid, config_id')} AS rk FROM grid) WHERE rk = 1",
@@ -177,8 +181,8 @@ def _signal(name: str, column: str) -> str:
     return f"SELECT c.qid, c.sidx, round(coalesce({column}, -9.0), 6) AS {name} FROM cand c LEFT JOIN pools p ON p.qid = c.qid AND p.sidx = c.sidx"
 
 
-def _contrast(a: str, b: str) -> str:
-    base = sql(f"SELECT qid, conv, {a} AS a, {b} AS b FROM wide")
+def _contrast(a: str, b: str, wide: str = "wide") -> str:
+    base = sql(f"SELECT qid, conv, {a} AS a, {b} AS b FROM {wide}")
     head, tail = base.rsplit("\nSELECT", 1)
     return f"{head}, pairs AS (SELECT{tail})" + _bootstrap("pairs", "conv")
 
@@ -231,6 +235,8 @@ _FINAL = {
     "length_buckets": "SELECT bucket, count(qid) AS n, round(avg(early), 6) AS early, round(avg(late), 6) AS late, round(100 * (avg(late) - avg(early)), 6) AS gap_pp FROM (SELECT unnest(['1', '2-3', '4-7', '8-15', '16+']) AS bucket, unnest([1, 2, 4, 8, 16]) AS lo, unnest([1, 3, 7, 15, 1000000000]) AS hi) b LEFT JOIN (SELECT w.*, coalesce(t, 0) AS t FROM wide w LEFT JOIN (SELECT g.qid, max(t) AS t FROM gold g JOIN ex USING (qid) JOIN (SELECT conv, sidx, count(*) AS t FROM turns GROUP BY ALL) s ON s.conv = ex.conv AND s.sidx = g.sidx GROUP BY g.qid) x ON x.qid = w.qid) y ON t BETWEEN lo AND hi GROUP BY bucket",
     "pooler_sweep": f"SELECT pooler, kind, count(*) AS n, sum(CASE WHEN g.qid IS NULL THEN 0 ELSE 1 END)::BIGINT AS hits FROM (SELECT *, {_rank('score', 'qid, pooler, kind')} AS rk FROM pool_kinds) r LEFT JOIN gold g ON g.qid = r.qid AND g.sidx = r.sidx WHERE rk = 1 GROUP BY ALL",
     "loco_pooler_sweep": f"SELECT m.pooler, kind, {_MEANS}, any_value(CASE WHEN kind = 'fused' THEN a END)::DOUBLE AS median_alpha_id FROM ({_metrics('lp_ranked', 'qid, pooler, kind')}) m JOIN (SELECT pooler, quantile_cont(alpha_id, 0.5) AS a FROM lp_choice GROUP BY pooler) c ON c.pooler = m.pooler GROUP BY ALL",
+    "loco_combiner_compare": "SELECT method, count(*) AS n, sum(hit)::BIGINT AS hits FROM lohits GROUP BY method",
+    "loco_per_category": "SELECT category, CASE WHEN grouping(category) = 1 THEN 'all' ELSE coalesce(CASE category WHEN 1 THEN 'multi-hop' WHEN 2 THEN 'temporal' WHEN 3 THEN 'open-domain' WHEN 4 THEN 'single-hop' WHEN 5 THEN 'adversarial' END, '?') END AS name, count(*) AS n, round(avg(bm25), 6) AS bm25, round(avg(late), 6) AS late, round(avg(loco), 6) AS loco, round(100 * (avg(loco) - avg(bm25)), 6) AS delta_pp FROM (SELECT w.*, category FROM lowide w JOIN ex ON ex.qid = w.qid) GROUP BY GROUPING SETS ((category), ())",
     "query_features": "SELECT qid, " + ", ".join(f"f_{n} AS {n}" for n in ("short", "long", "temporal", "when", "would", "n_caps", "has_num")).replace(" AS when", ' AS "when"') + " FROM feats",
     "design_matrix": "SELECT s.qid, s.sidx, CASE WHEN g.qid IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y, 1.0::DOUBLE AS x00, round(zb, 6) AS x01, round(zd, 6) AS x02, " + "round(60.0::DOUBLE / (60 + rb), 6) AS x03, round(60.0::DOUBLE / (60 + rd), 6) AS x04, " + ", ".join(f"round(f_{n} * {z}, 6) AS x{5 + 7 * k + i:02d}" for k, z in enumerate(("zb", "zd")) for i, n in enumerate(("short", "long", "temporal", "when", "would", "n_caps", "has_num"))) + f" FROM (SELECT *, {_rank('bm')} AS rb, {_rank('mx')} AS rd FROM sig) s JOIN feats f ON f.qid = s.qid LEFT JOIN gold g ON g.qid = s.qid AND g.sidx = s.sidx",
     "token_f1": "SELECT qid, round(f1, 6) AS f1 FROM f1",
@@ -251,4 +257,5 @@ _FINAL = {
 def oracle_sql() -> dict[str, str]:
     out = {k: sql(v) for k, v in _FINAL.items()}
     out |= {"cluster_bootstrap": _paired_bootstrap("conv"), "question_bootstrap": _paired_bootstrap("qid")}
+    out |= {"loco_fusion_late_vs_early": _contrast("loco_early", "loco", "lowide"), "loco_fusion_vs_late": _contrast("late", "loco", "lowide")}
     return out | {"late_vs_early": _contrast("early", "late"), "fusion_late_vs_early": _contrast("weighted_early", "weighted"), "fusion_vs_late": _contrast("late", "weighted")}

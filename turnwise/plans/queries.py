@@ -293,8 +293,15 @@ def _method_hits(c: Corpus) -> DataFrame:
     return ranking.hits(ranking.best(long, "score", "qid", "conv", "method"), c.gold).select("qid", "conv", "method", "hit")
 
 
-def _contrast(c: Corpus, a: str, b: str) -> DataFrame:
-    h = _method_hits(c).where(F.col("method").isin(a, b))
+def _held_out_hits(c: Corpus) -> DataFrame:
+    """``qid, conv, method, hit``: ``loco`` and ``loco_early`` fuse with the weight chosen on other conversations."""
+    swept = cut(selection.swept_hits(c.signals, c.gold, "qid", "conv", loco="zd", loco_early="ze"), "alpha")
+    choice = selection.held_out_choice(swept, "conv", "alpha_id", "signal").select("signal", "conv", "alpha_id")
+    return swept.join(choice, ["signal", "conv", "alpha_id"]).select("qid", "conv", F.col("signal").alias("method"), "hit")
+
+
+def _contrast(c: Corpus, a: str, b: str, hits: DataFrame | None = None) -> DataFrame:
+    h = (hits or _method_hits(c)).where(F.col("method").isin(a, b))
     both = h.groupBy("qid", "conv").pivot("method", [a, b]).agg(F.max("hit"))
     return _interval(stats.paired_bootstrap(both.select("qid", "conv", F.col(a).alias("a"), F.col(b).alias("b")), "conv", N_BOOT))
 
@@ -326,6 +333,29 @@ def per_category(c: Corpus) -> DataFrame:
     return d.select("category", "name", "n", _r("bm25"), _r("late"), _r("weighted"), _r(100 * (F.col("weighted") - F.col("bm25"))).alias("delta_pp"))
 
 
+@_query
+def loco_fusion_late_vs_early(c: Corpus) -> DataFrame:
+    return _contrast(c, "loco_early", "loco", _held_out_hits(c))
+
+
+@_query
+def loco_fusion_vs_late(c: Corpus) -> DataFrame:
+    return _contrast(c, "late", "loco", _method_hits(c).union(_held_out_hits(c)))
+
+
+@_query
+def loco_combiner_compare(c: Corpus) -> DataFrame:
+    return _method_hits(c).union(_held_out_hits(c)).groupBy("method").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+
+
+@_query
+def loco_per_category(c: Corpus) -> DataFrame:
+    hits = _method_hits(c).union(_held_out_hits(c))
+    wide = hits.groupBy("qid").pivot("method", ["bm25", "late", "loco"]).agg(F.max("hit")).join(c.questions.select("qid", "category"), "qid")
+    d = analysis.by_category(wide, bm25="bm25", late="late", loco="loco")
+    return d.select("category", "name", "n", _r("bm25"), _r("late"), _r("loco"), _r(100 * (F.col("loco") - F.col("bm25"))).alias("delta_pp"))
+
+
 @_query
 def length_buckets(c: Corpus) -> DataFrame:
     wide = _method_hits(c).groupBy("qid").pivot("method", ["early", "late"]).agg(F.max("hit")).join(analysis.gold_lengths(c.gold, c.turns, c.questions), "qid")
