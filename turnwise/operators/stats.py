@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.functions.draws import draw
-from turnwise.scratch import cut
+from turnwise.scratch import broadcast_if_small, cut
 
 
 def numbered(df: DataFrame, key: str, name: str = "u") -> DataFrame:
@@ -28,14 +28,15 @@ def paired_bootstrap(pairs: DataFrame, unit: str, n_boot: int = 4000, seed: int
 
     ``pairs`` has ``unit, a, b``. Only sums per unit are needed, so a repetition
     touches one small row per draw; draws come from MD5 of seed, repetition and
-    position and are the same on every engine. Units are numbered in their order.
+    position and are the same on every engine. Units are numbered in their order,
+    and broadcast if they are few (counted), so that no draw is shuffled.
     """
     per = cut(pairs.groupBy(unit).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("n")), "units")
     whole = per.agg(F.count("*").alias("units"), F.sum("n").alias("n"), (100.0 * F.sum(F.col("b") - F.col("a")) / F.sum("n")).alias("diff_pp"))  # one row
     units = whole.first().units
     rep, at = F.floor(F.col("id") / max(units, 1)).cast("long"), F.col("id") % max(units, 1)
     drawn = per.sparkSession.range(n_boot * units).select(rep.alias("rep"), draw(F.concat_ws(":", F.lit(str(seed)), rep, at), max(units, 1)).alias("u"))
-    sums = drawn.join(numbered(per, unit).select("u", "a", "b", "n"), "u").groupBy("rep").agg((100.0 * F.sum(F.col("b") - F.col("a")) / F.sum("n")).alias("d"))
+    sums = drawn.join(broadcast_if_small(numbered(per, unit).select("u", "a", "b", "n"), units), "u").groupBy("rep").agg((100.0 * F.sum(F.col("b") - F.col("a")) / F.sum("n")).alias("d"))
     spread = sums.agg(F.percentile("d", 0.025).alias("lo_pp"), F.percentile("d", 0.975).alias("hi_pp"), F.avg(F.when(F.col("d") <= 0, 1.0).otherwise(0.0)).alias("p_one_sided"))
     return whole.crossJoin(spread).select("diff_pp", "lo_pp", "hi_pp", "p_one_sided", "n")
 

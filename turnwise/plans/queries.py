@@ -14,7 +14,7 @@ from turnwise.scratch import broadcast_if_small, cut, cut_counted, drop
 from turnwise.sources import conversations as src
 from turnwise.sources.tables import table
 
-N_BOOT = 500
+N_BOOT = 4000
 _REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
