@@ -12,7 +12,9 @@ a null source or one without a target takes no part; a null or negative weight
 and a null or negative ``max_repeats`` count as 0; targets that differ only in
 spelling share nothing, each reads the same texts; a null or empty text has 0
 tokens and is never used. Copies of a text count as one text of the source of its
-smallest doc_id, so that no text is used more often than its source's cap.
+smallest doc_id among the sources whose targets take texts (share and cap above 0),
+so that no text is used more often than its source's cap and none is lost to a
+source outside the mix.
 """
 
 from __future__ import annotations
@@ -108,7 +110,8 @@ def thresholds(texts: DataFrame, budgets: DataFrame, levels: int = 5) -> DataFra
 
 def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """``name, doc_id, tokens, uses``: every text in the mix, and how often it is used (at most its cap)."""
-    texts = distinct_texts(sized)
+    taking = targets.where("share > 0 and cap > 0").select("source").distinct()
+    texts = distinct_texts(sized.join(taking, "source", "left_semi"))
     plan = thresholds(texts, targets)
     # bucket numbers of all levels, compared in order, are the hash as an unsigned number
     extra = F.when(F.array(*[_bucket(i) for i in range(5)]) < F.col("path"), 1).otherwise(0)
