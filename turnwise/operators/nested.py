@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from turnwise.operators.skew import hot_keys, salted_join
 from turnwise.scratch import cut
 
-SESSION_KEY = r"^session_[0-9]{1,18}$"
+SESSION_KEY = r"^session_0*[0-9]{1,18}$"
 
 
 @dataclass
