@@ -29,7 +29,7 @@ def brute(q, t, k=5, least=0.9):
 def found(spark, q, t, **how):
     queries = nb.usable(frame(spark, q, "qid"), "qid", "v", "encoded_at", 64)
     vectors = nb.usable(frame(spark, t, "turn_id"), "turn_id", "v", "encoded_at", 64)
-    rows = nb.similar(queries, vectors, len(t), **how).collect()
+    rows = nb.similar(queries, vectors, len(q), len(t), **how).collect()
     out = {(r.qid, r.id) for r in rows}
     assert len(out) == len(rows)
     return out
@@ -49,6 +49,19 @@ def test_split_blocks_lose_nothing(spark):
     assert whole == split and len(want & whole) >= 0.97 * len(want)
 
 
+def test_exact_mode_misses_nothing(spark):
+    q, t = clustered(8, 60), clustered(9, 700)
+    assert found(spark, q, t, exact=True, block_rows=256, hot_share=1) == brute(q, t)
+
+
+def test_reach_holds_where_buckets_are_many():
+    for n in (10**6, 10**7, 10**8):
+        hasher, probes = nb.tuned(n, n // 2, 64, 0.9)
+        assert len(hasher.widths) > 1 and nb.reach(hasher, probes, 0.9, pairs=3000) >= 0.95
+    wide, probes = nb.tuned(10**6, 10, 64, 0.05)  # far pairs need larger buckets
+    assert len(wide.widths) < 2 and nb.reach(wide, probes, 0.05) >= 0.95
+
+
 def test_copies_and_ties(spark):
     t = np.repeat(clustered(5, 3), 40, axis=0)
     q = clustered(5, 3)

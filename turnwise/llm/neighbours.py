@@ -5,9 +5,12 @@ of random signs and a Hadamard transform, which acts like a random rotation and
 costs d log d; its hash is the nearest signed axis, refined by the nearest signed
 axis among the first few coordinates of a second turn, so that the number of
 buckets follows the number of vectors. Each table hashes with other signs. A
-query looks into the buckets of its best few axes (multiprobe). Vectors travel to
-the buckets as 8-bit codes; a pair survives a bucket unless its code similarity
-rules it out, and survivors are ranked by their exact cosine.
+query looks into the buckets of its best few axes (multiprobe). The numbers of
+tables and probes follow the number of buckets: they are the cheapest for which
+random pairs at the cosine ``least`` share a bucket often enough (``recall``), which
+depends on the hash and on no data. Vectors travel to the buckets as 8-bit codes; a
+pair survives a bucket unless its code similarity rules it out, and survivors are
+ranked by their exact cosine. ``exact=True`` puts all vectors into one bucket.
 
 Buckets hold no cap: one with more rows than ``block_rows`` is split into blocks
 of both sides, each block against each, and every block keeps the best of its
@@ -24,7 +27,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from turnwise.operators.skew import hot_keys
+from turnwise.operators.skew import hot_keys, salted_join
 from turnwise.scratch import broadcast_if_small, cut, cut_counted
 
 
@@ -88,6 +92,47 @@ class CrossPolytope:
         return number
 
 
+def _places(hasher: CrossPolytope, table: int, least: float, probes: int, pairs: int) -> np.ndarray:
+    """For random pairs at cosine ``least``: which probe of the one finds the bucket of the other (``probes`` if none)."""
+    rng = np.random.default_rng([hasher.seed, 1 << 20])
+    a, b = rng.normal(size=(2, pairs, hasher.dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = least * a + math.sqrt(max(0.0, 1 - least * least)) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    same = hasher.buckets(a.astype(np.float32), table, probes) == hasher.buckets(b.astype(np.float32), table)
+    return np.where(same.any(1), same.argmax(1), probes)
+
+
+def reach(hasher: CrossPolytope, probes: int, least: float, pairs: int = 2000) -> float:
+    """The share of random pairs at cosine ``least`` that meet in a bucket of some table."""
+    return float(np.logical_or.reduce([_places(hasher, t, least, probes, pairs) < probes for t in range(hasher.tables)]).mean())
+
+
+@lru_cache(maxsize=64)
+def tuned(n: int, n_queries: int, dim: int, least: float, recall: float = 0.97, bucket_rows: int = 256, most_tables: int = 16, choices: tuple[int, ...] = (8, 16, 32), pairs: int = 2000) -> tuple[CrossPolytope, int]:
+    """The hash tables and the number of probes with the fewest rows to send, such that ``reach`` is ``recall`` at least.
+
+    Where ``most_tables`` do not suffice, buckets of four times the rows are tried;
+    in the end there is one bucket, which misses nothing.
+    """
+    while bucket_rows < n:
+        hasher, best = CrossPolytope.for_size(n, dim, 1, bucket_rows), None
+        met = {p: np.zeros(pairs, bool) for p in choices}
+        for t in range(most_tables):
+            if best and best[0] <= (t + 1) * (n + choices[0] * n_queries):
+                break
+            at = _places(hasher, t, least, max(choices), pairs)
+            for p in choices:
+                met[p] |= at < p
+                rows = (t + 1) * (n + p * n_queries)
+                if met[p].mean() >= recall and (best is None or rows < best[0]):
+                    best = rows, t + 1, p
+        if best:
+            return replace(hasher, tables=best[1]), best[2]
+        bucket_rows *= 4
+    return CrossPolytope(dim, 1, ()), 1
+
+
 def usable(rows: DataFrame, id: str, vector: str, time: str, dim: int) -> DataFrame:
     """``id, v``: the latest vector of each id, where it has ``dim`` finite numbers that are not all zero."""
     latest = rows.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.struct(F.col(time).alias("t"), F.col(vector).alias("v")).alias("r")).groupBy("id").agg(F.max("r").alias("r")).select("id", F.col("r.v").alias("v"))
@@ -97,7 +142,7 @@ def usable(rows: DataFrame, id: str, vector: str, time: str, dim: int) -> DataFr
 
 def without_copies(vectors: DataFrame, k: int) -> DataFrame:
     """Of vectors with the same numbers, the ``k`` smallest ids. Only ids and hashes are shuffled for it."""
-    marks = vectors.select("id", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2"))
+    marks = vectors.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
     extra = marks.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("n") <= k).select("id")
     return vectors.join(extra, "id", "left_semi")
 
@@ -157,19 +202,21 @@ def _block_pairs(iq: np.ndarray, q: np.ndarray, eq: np.ndarray, ii: np.ndarray,
         yield iq[at + r], ii[c]
 
 
-def similar(queries: DataFrame, vectors: DataFrame, n_vectors: int, k: int = 5, least: float = 0.9, dim: int = 64, tables: int = 2, probes: int = 8, bucket_rows: int = 256, block_rows: int = 16_384, hot_share: int = 32) -> DataFrame:
+def similar(queries: DataFrame, vectors: DataFrame, n_queries: int, n_vectors: int, k: int = 5, least: float = 0.9, dim: int = 64, recall: float = 0.97, bucket_rows: int = 256, block_rows: int = 16_384, hot_share: int = 32, exact: bool = False) -> DataFrame:
     """``qid, id, cosine, rank``: up to ``k`` vectors per query with cosine ``least`` or more.
 
-    Both inputs have ``id`` and ``v`` (see ``usable``); ``n_vectors`` is about how
-    many there are and sets the number of buckets. One id in ``hot_share`` is
-    hashed first to find the buckets that must be split; this decides where rows go
-    and not which pairs are compared.
+    Both inputs have ``id`` and ``v`` (see ``usable``); ``n_queries`` and ``n_vectors``
+    are about how many there are and set the number of buckets, tables and probes.
+    One id in ``hot_share`` is hashed first to find the buckets that must be split;
+    this decides where rows go and not which pairs are compared. ``exact`` compares
+    every query with every vector, block by block: for a stated set of queries.
     """
     index = without_copies(vectors, k)
-    hasher = CrossPolytope.for_size(n_vectors, dim, tables, bucket_rows)
+    hasher, probes = (CrossPolytope(dim, 1, ()), 1) if exact else tuned(n_vectors, n_queries, dim, least, recall, bucket_rows)
     both = _entries(index, hasher, 1, 0).unionByName(_entries(queries, hasher, probes, 1))
     part = lambda d: d.where(F.pmod(F.xxhash64("id"), F.lit(hot_share)) == 0)
     tried = _entries(part(vectors), hasher, 1, 0).unionByName(_entries(part(queries), hasher, probes, 1)).select("bucket", "side")
+    # of a split bucket every block of one side meets every block of the other
     sizes = tried.groupBy("bucket").agg(*[(F.sum(F.when(F.col("side") == s, hot_share).otherwise(0))).alias(f"n{s}") for s in (0, 1)])
     split = [F.greatest(F.lit(1), F.ceil(F.col(f"n{s}") / block_rows)).cast("int").alias(f"s{s}") for s in (0, 1)]
     hot = broadcast_if_small(*cut_counted(sizes.where(F.greatest("n0", "n1") > block_rows).select("bucket", *split), "hot"))
@@ -231,14 +278,11 @@ def cosine(a: str, b: str) -> Column:
 def rank_pairs(pairs: DataFrame, queries: DataFrame, index: DataFrame, k: int, least: float, hot_rows: int = 200_000) -> DataFrame:
     """The exact cosine of candidate pairs, and the best ``k`` of each query.
 
-    A vector in more than ``hot_rows`` pairs (at most ten thousand of them) is
-    broadcast to its pairs; the others meet theirs by id, where ``index`` already
-    lies, so that only the pairs move.
+    Pairs meet their vector by id, those of a vector in more than ``hot_rows`` pairs
+    over salts.
     """
-    hot = cut(hot_keys(pairs.groupBy("id").agg(F.count("*").alias("n")), ["id"], "n", hot_rows).select("id"), "hot")
-    few = F.broadcast(index.join(F.broadcast(hot), "id", "left_semi"))
-    with_vector = pairs.join(F.broadcast(hot), "id", "left_anti").join(index, "id").unionByName(pairs.join(few, "id"))
-    near = with_vector.withColumnRenamed("v", "w").join(queries.withColumnRenamed("id", "qid"), "qid").select("qid", "id", F.round(cosine("v", "w"), 10).alias("cosine"))
+    hot = hot_keys(pairs.groupBy("id").agg(F.count("*").alias("n")), ["id"], "n", hot_rows)
+    near = salted_join(pairs, index.withColumnRenamed("v", "w"), ["id"], F.col("qid"), hot).join(queries.withColumnRenamed("id", "qid"), "qid").select("qid", "id", F.round(cosine("v", "w"), 10).alias("cosine"))
     best = Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")
     return near.where(F.col("cosine") >= least).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -247,4 +291,4 @@ def similar_turns(questions: DataFrame, turns: DataFrame, k: int = 5, least: flo
     """``qid, turn_id, cosine, rank`` of ``locomo_bge_cache`` against ``locomo_turn_cache``."""
     queries = usable(questions, "qid", "q_emb", "encoded_at", dim)
     vectors = usable(turns, "turn_id", "turns_", "encoded_at", dim)
-    return similar(queries, vectors, turns.count(), k, least, dim, **how).withColumnRenamed("id", "turn_id")
+    return similar(queries, vectors, questions.count(), turns.count(), k, least, dim, **how).withColumnRenamed("id", "turn_id")
