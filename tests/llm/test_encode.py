@@ -35,6 +35,34 @@ def test_round_trip_and_counts(spark):
     assert counts == {i: len(encode.encoder().encode_ordinary(t or "")) for i, t in enumerate(TEXTS)}
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(PIECES, max_size=40).map("".join), st.integers(1, 9))
+def test_joining_parts_equals_whole(text, width):
+    whole = encode.encoder().encode_ordinary
+    parts = [encode.part_of(text[i : i + width], whole) for i in range(0, len(text), width)]
+    if parts:
+        assert encode.tree_joined(parts, whole) == whole(text)
+
+
+def test_text_of_five_million_characters(spark):
+    text = "a line of words, 12 numbers and ünïcödé\n" * 125_000
+    whole = encode.encoder().encode_ordinary(text)
+    df = spark.createDataFrame([(1, text, "clash"), (1, text[:-1], ""), (2, "short", "")], "doc_id long, text string, head string")
+    ids = encode.token_ids(df)
+    got = sorted((r.doc_id, len(r.ids)) for r in ids.collect())
+    assert got == sorted([(1, len(whole)), (1, len(encode.encoder().encode_ordinary(text[:-1]))), (2, 1)])
+    assert next(r.ids for r in ids.where(f"size(ids) = {len(whole)}").collect()) == whole
+    counts = encode.token_counts(df, ["doc_id", "head"]).collect()
+    assert sorted((r.doc_id, r.tokens) for r in counts) == got and {r.head for r in counts} == {"clash", ""}
+    assert sorted(len(r.text) for r in encode.decoded(ids).collect()) == sorted([len(text), len(text) - 1, 5])
+
+
+def test_decoding_in_segments(spark):
+    df = spark.createDataFrame([*enumerate(TEXTS), (99, None)], "doc_id long, text string")
+    back = {r.doc_id: r.text for r in encode.decoded(encode.token_ids(df), task_ids=3).collect()}
+    assert back == {i: t or "" for i, t in [*enumerate(TEXTS), (99, None)]}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert encode.token_ids(df).count() == 0 == encode.decoded(encode.token_ids(df)).count()

@@ -25,13 +25,29 @@ def mixed(spark):
 
 
 def test_sizes_and_shortages(mixed):
-    _, targets = mixed
+    sized, targets = mixed
     n = lambda key: sum(len(encode.encoder().encode_ordinary(t or "")) for _, t, s, *_ in made() if s and s.strip().lower().replace("_", "-") == key)
     got = {r.name: r for r in targets.collect()}
     assert got["Big"].size == n("big") and got["small-one"].size == n("small-one") and got["gone"].size == 0
     assert got["Big"].total == n("big") + n("small-one")
     assert got["Big"].wanted == pytest.approx(0.4 * got["Big"].total)
-    assert {r.name for r in mixing.shortages(targets).collect()} == {"small-one", "gone"}
+    plan = mixing.thresholds(sized, mixing.histogram(sized), targets)
+    assert {r.name for r in mixing.shortages(plan).collect()} == {"small-one", "gone"}
+    assert {r.name: r.passes for r in plan.collect()} == {"Big": 0, "small-one": 3, "gone": 0, "none": 0}
+
+
+def test_thresholds_equal_a_sorted_prefix(spark, mixed):
+    """Brute force: texts in the order of their hash as an unsigned number, as long as they fit."""
+    sized, targets = mixed
+    texts = [r for r in mixing.distinct_texts(sized).collect() if r.source == "big"]
+    want = next(r.wanted for r in targets.collect() if r.name == "Big")
+    took, run = set(), 0
+    for r in sorted(texts, key=lambda r: r.h % 2**64):
+        run += r.tokens
+        if run > want:
+            break
+        took.add(r.doc_id)
+    assert {r.doc_id for r in mixing.mix(sized, targets).where("name = 'Big'").collect()} == took
 
 
 def test_mix_meets_budgets_and_caps(mixed):
@@ -63,7 +79,18 @@ def test_smaller_budget_is_a_subset(spark, mixed):
 
 def test_empty_tables(spark):
     sized = mixing.sized_documents(spark.createDataFrame([], DOCS))
-    targets = mixing.targets_of(spark.createDataFrame([("a", 1.0, 1)], TARGETS), sized)
-    assert mixing.mix(sized, targets).count() == 0 == mixing.shortages(targets).count()
-    none = mixing.targets_of(spark.createDataFrame([], TARGETS), sized)
+    sums = mixing.histogram(sized)
+    targets = mixing.targets_of(spark.createDataFrame([("a", 1.0, 1)], TARGETS), sized, sums)
+    assert mixing.mix(sized, targets).count() == 0 == mixing.shortages(mixing.thresholds(sized, sums, targets)).count()
+    none = mixing.targets_of(spark.createDataFrame([], TARGETS), sized, sums)
     assert mixing.mix(sized, none).count() == 0
+
+
+def test_one_text_with_a_third_of_the_tokens(spark):
+    rows = [(i, "the same text again and again", "a", "", "") for i in range(400)] + [(1000 + i, f"other {i} of them", "a", "", "") for i in range(800)]
+    sized = mixing.sized_documents(spark.createDataFrame(rows, DOCS))
+    sums = mixing.histogram(sized)
+    targets = mixing.targets_of(spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 1)], TARGETS), sized, sums)
+    assert {r.name for r in mixing.shortages(mixing.thresholds(sized, sums, targets)).collect()} == {"b"}
+    rows = mixing.mix(sized, targets).collect()
+    assert all(r.uses == 1 for r in rows) and len({r.doc_id for r in rows}) == len(rows)

@@ -3,9 +3,10 @@
 Method: hash-threshold histograms. Every text has a hash; tokens are summed by
 source and hash bucket. A source's budget is met by whole passes over its texts
 plus all texts below a hash threshold: the bucket where the running sum crosses
-the budget is found in the histogram, only that bucket is summed again by finer
-buckets, and so on. The mix is then a filter on the hash, without any sort, and a
-smaller budget always takes a subset of a larger one.
+the budget is found in the histogram, only that bucket's texts are summed again
+by finer buckets, and so on. The mix is then a filter on the hash, without any
+sort, and a smaller budget always takes a subset of a larger one. All sizes,
+those of whole sources too, are sums over the first histogram.
 
 Defined cases: sources are compared trimmed, in lower case, with ``_`` as ``-``;
 a null source or one without a target takes no part; a null or negative weight
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.llm.encode import token_counts
-from turnwise.scratch import broadcast_if_small, cut, cut_counted
+from turnwise.scratch import broadcast_if_small, cut, cut_counted, drop
 
 BITS = 12
+LEVELS = 5
 
 
 def source_key(source: Column) -> Column:
@@ -35,18 +37,28 @@ def source_key(source: Column) -> Column:
 
 
 def sized_documents(documents: DataFrame, **tokenizer) -> DataFrame:
-    """``doc_id, source, h, tokens``: the normalised source, the text's 128-bit identity and its tokens."""
+    """``doc_id, source, h, same, tokens``: the normalised source, the text's 64-bit hash and 128-bit identity, and its tokens."""
     known = documents.select("doc_id", source_key(F.col("source")).alias("source"), F.xxhash64("text").alias("h"), F.unhex(F.md5("text")).alias("same"), "text")
     return cut(token_counts(known, ["doc_id", "source", "h", "same"], **tokenizer), "sized")
 
 
-def targets_of(mix_targets: DataFrame, sized: DataFrame) -> DataFrame:
-    """``name, source, cap, total, size, wanted`` for each row of ``mix_targets``.
+def _bucket(level: int) -> Column:
+    """The bits of the hash that number the buckets of a level."""
+    return F.shiftrightunsigned(F.shiftleft("h", BITS * level), 64 - BITS)
+
+
+def histogram(items: DataFrame) -> DataFrame:
+    """``source, b, n``: the tokens of ``items(source, h, tokens)`` by source and first hash bucket, at most 2**BITS rows per source."""
+    return cut(items.where("source is not null").groupBy("source", _bucket(0).alias("b")).agg(F.sum("tokens").alias("n")), "histogram")
+
+
+def targets_of(mix_targets: DataFrame, sized: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """``name, source, cap, total, size, share, wanted`` for each row of ``mix_targets``, from the ``histogram`` of ``sized``.
 
     ``size`` is the source's tokens, ``total`` those of all sources with a target,
     ``wanted`` its weight's share of ``total``.
     """
-    sizes = sized.groupBy("source").agg(F.sum("tokens").alias("size"))
+    sizes = (sums or histogram(sized)).groupBy("source").agg(F.sum("n").alias("size"))
     rows = mix_targets.select(
         F.col("source").alias("name"), source_key(F.col("source")).alias("source"),
         F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"),
@@ -57,12 +69,7 @@ def targets_of(mix_targets: DataFrame, sized: DataFrame) -> DataFrame:
     weights = rows.agg(F.sum("weight").alias("weights"))
     both = joined.crossJoin(F.broadcast(everything)).crossJoin(F.broadcast(weights))  # one row each
     share = F.when(F.col("weights") > 0, F.col("weight") / F.col("weights")).otherwise(0.0)
-    return both.select("name", "source", "cap", "total", "size", share.alias("share"), (share * F.col("total")).alias("wanted"))
-
-
-def shortages(targets: DataFrame) -> DataFrame:
-    """Targets that their source cannot reach even with every text used ``cap`` times."""
-    return targets.where(F.col("size") * F.col("cap") < F.col("wanted"))
+    return cut(both.select("name", "source", "cap", "total", "size", share.alias("share"), (share * F.col("total")).alias("wanted")), "targets")
 
 
 def distinct_texts(sized: DataFrame) -> DataFrame:
@@ -71,50 +78,61 @@ def distinct_texts(sized: DataFrame) -> DataFrame:
     return best.select("m.*").where("source is not null")
 
 
-def _bucket(level: int) -> Column:
-    """The bits of the hash that number the buckets of a level."""
-    return F.shiftrightunsigned(F.shiftleft("h", BITS * level), 64 - BITS)
-
+def thresholds(items: DataFrame, sums: DataFrame, budgets: DataFrame) -> DataFrame:
+    """``name, source, cap, passes, path, short``: how many whole passes, which hashes take one more, and what is out of reach.
 
-def thresholds(texts: DataFrame, budgets: DataFrame, levels: int = 5) -> DataFrame:
-    """``name, source, passes, below``: how many whole passes, and which hashes take one more.
-
-    ``budgets`` has ``name, source, cap, wanted``, one row per target; it is
-    broadcast if it is small (counted). A hash, as an unsigned number, takes one more pass if it is below
-    ``below`` = the crossing bucket of each level; the crossing bucket of the last
-    level is left out, so a mix falls short by less than one such bucket.
+    ``sums`` is the ``histogram`` of ``items``; ``budgets`` has ``name, source, cap,
+    wanted``, one row per target. ``path`` holds the crossing bucket of each level,
+    where only the items of the crossing bucket before are looked at again: a hash
+    whose buckets, in order, come before ``path`` takes one more pass. The crossing
+    bucket of the last level is left out, so a mix falls short by less than that.
+    ``short`` marks a budget that ``cap`` passes cannot reach.
     """
-    sizes = texts.groupBy("source").agg(F.sum("tokens").alias("distinct_size"))
-    state = budgets.join(sizes, "source", "left").select(
-        "name", "source", "cap", F.coalesce("distinct_size", F.lit(0)).alias("size"), F.least(F.col("wanted"), F.coalesce("distinct_size", F.lit(0)) * F.col("cap")).alias("want"),
-    )
-    state = state.withColumn("passes", F.when(F.col("size") > 0, F.floor(F.col("want") / F.col("size"))).otherwise(0)).withColumn("rest", F.when(F.col("passes") >= F.col("cap"), 0.0).otherwise(F.col("want") - F.col("passes") * F.col("size"))).withColumn("path", F.array().cast("array<long>"))
-    state, n = cut_counted(state.select("name", "source", "passes", "rest", "path"), "state")
-    for level in range(levels):
-        inside = texts.join(broadcast_if_small(state, n), "source")
-        if level:
-            inside = inside.where(F.array(*[_bucket(i) for i in range(level)]) == F.col("path"))
-        sums = inside.groupBy("name", _bucket(level).alias("b")).agg(F.sum("tokens").alias("n"))  # at most 2**BITS rows per target
-        upto = sums.withColumn("run", F.sum("n").over(Window.partitionBy("name").orderBy("b")))
+    sizes = sums.groupBy("source").agg(F.sum("n").alias("size"))
+    size, full = F.coalesce("size", F.lit(0)), F.coalesce("size", F.lit(0)) * F.col("cap")
+    passes = F.when(size > 0, F.least(F.floor(F.col("wanted") / size), F.col("cap"))).otherwise(0)
+    state = budgets.select("name", "source", "cap", "wanted").join(sizes, "source", "left").select("name", "source", "cap", passes.cast("long").alias("passes"), size.alias("size"), (full < F.col("wanted")).alias("short"), "wanted")
+    rest = F.when(F.col("passes") >= F.col("cap"), 0.0).otherwise(F.col("wanted") - F.col("passes") * F.col("size"))
+    state, n = cut_counted(state.select("name", "source", "cap", "passes", "short", rest.alias("rest"), F.array().cast("array<long>").alias("path")), "state")
+    inside, rows = None, 1
+    for level in range(LEVELS):
+        if not rows:  # nothing lies in any crossing bucket
+            state = state.withColumn("path", F.concat("path", F.array_repeat(F.lit(1 << BITS).cast("long"), LEVELS - level)))
+            break
+        if level == 0:
+            found = broadcast_if_small(state.select("name", "source"), n).join(sums, "source").select("name", "b", "n")
+        else:
+            found = inside.groupBy("name", _bucket(level).alias("b")).agg(F.sum("tokens").alias("n"))  # at most 2**BITS rows per target
+        upto = found.withColumn("run", F.sum("n").over(Window.partitionBy("name").orderBy("b")))
         # the first bucket that no longer fits; what lies before it is taken
         cross = upto.join(broadcast_if_small(state.select("name", "rest"), n), "name").groupBy("name").agg(
             F.min(F.when(F.col("run") > F.col("rest"), F.col("b"))).alias("b"), F.max(F.when(F.col("run") <= F.col("rest"), F.col("run"))).alias("taken"),
         )
         state = state.join(cross, "name", "left").select(
-            "name", "source", "passes", (F.col("rest") - F.coalesce("taken", F.lit(0))).alias("rest"),
+            "name", "source", "cap", "passes", "short", (F.col("rest") - F.coalesce("taken", F.lit(0))).alias("rest"),
             F.concat("path", F.array(F.coalesce("b", F.lit(1 << BITS)))).alias("path"),
         )
         state = cut(state, "state")
-    return broadcast_if_small(state.select("name", "source", "passes", "path"), n)
+        if level < LEVELS - 1:
+            before = inside
+            part = items.join(broadcast_if_small(state.select("name", "source", "path"), n), "source") if before is None else before.join(broadcast_if_small(state.select("name", "path"), n), "name")
+            inside, rows = cut_counted(part.where(_bucket(level) == F.get("path", level)).select("name", "h", "tokens"), "boundary")
+            drop(before)
+    return broadcast_if_small(state.select("name", "source", "cap", "passes", "path", "short"), n)
+
+
+def shortages(plan: DataFrame) -> DataFrame:
+    """Of ``thresholds``, the targets that their source cannot reach even with every text used ``cap`` times."""
+    return plan.where("short")
 
 
 def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """``name, doc_id, tokens, uses``: every text in the mix, and how often it is used (at most its cap)."""
     taking = targets.where("share > 0 and cap > 0").select("source").distinct()
-    texts = distinct_texts(sized.join(taking, "source", "left_semi"))
-    plan = thresholds(texts, targets)
+    texts = cut(distinct_texts(sized.join(taking, "source", "left_semi")), "texts")
+    plan = thresholds(texts, histogram(texts), targets)
     # bucket numbers of all levels, compared in order, are the hash as an unsigned number
-    extra = F.when(F.array(*[_bucket(i) for i in range(5)]) < F.col("path"), 1).otherwise(0)
+    extra = F.when((F.col("passes") < F.col("cap")) & (F.array(*[_bucket(i) for i in range(LEVELS)]) < F.col("path")), 1).otherwise(0)
     used = texts.join(plan, "source").select("name", "doc_id", "tokens", (F.col("passes") + extra).cast("long").alias("uses"))
     return used.where("uses > 0")
 

@@ -47,15 +47,20 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return encode.decoded(encode.token_ids(table(spark, d, "documents")))
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _budgets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sized documents, their histogram and the targets."""
     sized = mixing.sized_documents(table(spark, d, "documents"))
-    targets = mixing.targets_of(table(spark, d, "mix_targets"), sized)
+    sums = mixing.histogram(sized)
+    return sized, sums, mixing.targets_of(table(spark, d, "mix_targets"), sized, sums)
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized, _, targets = _budgets(spark, d)
     return mixing.mix(sized, targets), targets
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    sized = mixing.sized_documents(table(spark, d, "documents"))
-    return mixing.shortages(mixing.targets_of(table(spark, d, "mix_targets"), sized)).select(F.col("name").alias("source"))
+    return mixing.shortages(mixing.thresholds(*_budgets(spark, d))).select(F.col("name").alias("source"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -132,4 +137,5 @@ def oracle_sql() -> dict[str, str]:
         "p1_terms": _TERMS + "SELECT * FROM marked",
         "p3_found": _LINKED,
         "p4_found": _TOP,
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
