@@ -1,11 +1,11 @@
 """Occurrences and session counts of every distinct term, heavy and light apart.
 
-Method: heavy-light aggregation. A first pass finds at most ``max_heavy`` terms
-that are frequent (a Misra-Gries summary per task, merged). Their list is small
-whatever the input, so it goes to every task, which counts them exactly in local
-arrays and sends one row per heavy term. All other terms are counted by an
-ordinary shuffle. Both tables together are exact for every term; the summary only
-decides which way a term's rows travel.
+Method: heavy-light aggregation. A first pass estimates how often terms occur (a
+Misra-Gries summary per task, merged); heavy is a term that by this holds more than
+1/``max_heavy`` of all occurrences, so there are at most that many. Their list goes
+to every task, which counts them exactly in local arrays that are added up slot by
+slot. Only the other terms are shuffled. The union of both count tables is exact for
+every term; the summary only decides which way a term's rows travel.
 
 Defined cases: a session is a distinct non-null id and counts once, also when it
 is empty or null; of several versions of one session the longest counts; null
@@ -70,25 +70,39 @@ def _counted(rows: np.ndarray, terms: pa.Array) -> tuple[pa.Array, np.ndarray, n
 
 
 def heavy_terms(sessions: DataFrame, max_heavy: int = 4096) -> DataFrame:
-    """At most ``max_heavy`` frequent terms; each task sends at most that many candidates.
+    """The terms whose estimated share of all occurrences is above 1/``max_heavy``.
 
-    A term with more than 1/``max_heavy`` of a task's occurrences is always among
-    that task's candidates (Misra-Gries).
+    A task sends its ``max_heavy`` most frequent terms at most, with counts that are
+    never too high and too low by less than 1/``max_heavy`` of its occurrences
+    (Misra-Gries).
     """
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        t = pa.concat_tables(parts).group_by("term").aggregate([("n", "sum")])
+        return pa.table({"term": t["term"], "n": t["n_sum"]}, schema=schema)
+
+    def best(t: pa.Table) -> pa.Table:
+        return t.take(pc.sort_indices(t, [("n", "descending"), ("term", "ascending")]))
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, int] = {}
+        kept, total = schema.empty_table(), 0
         for batch in batches:
             words, occurrences, _ = _counted(*_flat(batch))
-            for w, n in zip(words.to_pylist(), occurrences.tolist(), strict=True):
-                kept[w] = kept.get(w, 0) + n
+            total += int(occurrences.sum())
+            kept = summed([kept, pa.table({"term": words, "n": pa.array(occurrences, pa.int64())}, schema=schema)])
             if len(kept) > 8 * max_heavy:
-                less = sorted(kept.values(), reverse=True)[max_heavy]
-                kept = {w: n - less for w, n in kept.items() if n > less}
-        best = sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:max_heavy]
-        yield pa.RecordBatch.from_pydict({"term": [w for w, _ in best], "n": pa.array([n for _, n in best], pa.int64())}, schema=pa.schema([("term", pa.string()), ("n", pa.int64())]))
+                kept = best(kept)
+                less = kept["n"][max_heavy]
+                kept = kept.set_column(1, "n", pc.subtract(kept["n"], less)).slice(0, max_heavy)
+                kept = kept.filter(pc.greater(kept["n"], 0))
+        yield from best(kept).slice(0, max_heavy).to_batches()
+        yield pa.RecordBatch.from_pydict({"term": [None], "n": [total]}, schema=schema)
 
-    return sessions.select("terms").mapInArrow(summary, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(max_heavy).select("term")
+    sums = sessions.select("terms").mapInArrow(summary, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    sums = cut(sums, "summary")  # at most max_heavy rows per task before
+    total = sums.where("term is null").select(F.col("n").alias("total"))  # one row
+    return sums.where("term is not null").crossJoin(F.broadcast(total)).where(F.col("n") * max_heavy > F.col("total")).select("term")
 
 
 def count_terms(sessions: DataFrame, max_heavy: int = 4096, min_sessions: int = 3, min_occurrences: int = 5, common_share: tuple[int, int] = (1, 5)) -> DataFrame:
@@ -100,9 +114,9 @@ def count_terms(sessions: DataFrame, max_heavy: int = 4096, min_sessions: int =
     """
     spark = sessions.sparkSession
     listed = cut(sessions.select("session_id", terms_of(F.col("text")).alias("terms")), "terms")
-    heavy = [r[0] for r in heavy_terms(listed, max_heavy).collect()]  # at most max_heavy short strings
+    heavy = sorted(r[0] for r in heavy_terms(listed, max_heavy).collect())  # fewer than max_heavy short strings
     known = spark.sparkContext.broadcast(pa.array(heavy, pa.string()))
-    schema = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("sessions", pa.int64()), ("heavy", pa.bool_())])
+    schema = pa.schema([("slot", pa.int32()), ("term", pa.string()), ("occurrences", pa.int64()), ("sessions", pa.int64())])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy_list = known.value
@@ -115,14 +129,17 @@ def count_terms(sessions: DataFrame, max_heavy: int = 4096, min_sessions: int =
             np.add.at(occ, slots[~is_light], o[~is_light])
             np.add.at(ses, slots[~is_light], s[~is_light])
             n = int(is_light.sum())
-            yield pa.RecordBatch.from_arrays([words.filter(pa.array(is_light)), pa.array(o[is_light], pa.int64()), pa.array(s[is_light], pa.int64()), pa.array(np.zeros(n, bool))], schema=schema)
-        seen = occ > 0
-        yield pa.RecordBatch.from_arrays([heavy_list.filter(pa.array(seen)), pa.array(occ[seen]), pa.array(ses[seen]), pa.array(np.ones(int(seen.sum()), bool))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), words.filter(pa.array(is_light)), pa.array(o[is_light], pa.int64()), pa.array(s[is_light], pa.int64())], schema=schema)
+        seen = np.flatnonzero(occ).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.nulls(len(seen), pa.string()), pa.array(occ[seen]), pa.array(ses[seen])], schema=schema)
 
-    partial = listed.select("terms").mapInArrow(local, COUNTS + ", heavy boolean")
+    # one pass feeds both tables: rows of light terms, and the heavy arrays slot by slot
+    partial = cut(listed.select("terms").mapInArrow(local, f"slot int, {COUNTS}"), "partial")
     total = F.sum("occurrences").alias("occurrences"), F.sum("sessions").alias("sessions")
-    # one pass feeds both tables; the heavy one has at most max_heavy rows per task
-    counts = partial.groupBy("term", "heavy").agg(*total).drop("heavy")
+    light = partial.where("slot is null").groupBy("term").agg(*total)
+    names = F.broadcast(spark.createDataFrame(list(enumerate(heavy)), "slot int, term string"))  # fewer than max_heavy rows
+    dense = partial.where("slot is not null").groupBy("slot").agg(*total).join(names, "slot").drop("slot")
+    counts = light.unionByName(dense)
     sessions_total = listed.agg(F.count("*").alias("all"))  # one row
     up, down = common_share
     common = F.col("sessions") * down > F.col("all") * up
