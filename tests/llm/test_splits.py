@@ -73,6 +73,19 @@ def test_long_chain(spark):
     assert sorted(map(sorted, out.values())) == [list(range(401)), [900, 901], [950]]
 
 
+def test_chain_of_a_hundred_thousand_nodes(spark):
+    from pyspark.sql import functions as F
+
+    edges = spark.range(100_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    rows = splits.components(edges, small=20_000).groupBy("component").count().collect()
+    assert [r["count"] for r in rows] == [100_001]
+
+
+def test_a_conversation_and_a_component_over_salts(spark):
+    rows = [(q, q % 3 and 7, None, [f"D{q % 2}"], "", "") for q in range(90)] + [(100 + q, 20 + q, None, ["smp-7/D1"], "", "") for q in range(60)]
+    assert got(spark, rows, hot_rows=5) == brute(rows)
+
+
 def test_empty(spark):
     assert got(spark, []) == set()
     assert got(spark, [(1, None, None, None, None, None), (2, None, None, [], None, None)]) == {(1, 1), (2, 2)}

@@ -126,6 +126,12 @@ least AS (SELECT r.a, min(x.qid) AS group_qid FROM reach r JOIN firsts x ON x.f
 SELECT q.qid, coalesce(least.group_qid, q.qid) AS group_qid FROM (SELECT DISTINCT qid FROM examples WHERE qid IS NOT NULL) q LEFT JOIN firsts USING (qid) LEFT JOIN least ON least.a = firsts.f
 """
 
+_SPLITS = (
+    "SELECT qid, group_qid, CASE WHEN at < 0.8::DOUBLE THEN 'train' WHEN at < 0.9::DOUBLE THEN 'validation' ELSE 'test' END AS split FROM linked JOIN ("
+    "SELECT group_qid, (sum(n) OVER (ORDER BY h, group_qid) - n / 2) / sum(n) OVER () AS at FROM (SELECT group_qid, count(*) AS n, ('0x' || substr(md5(group_qid::VARCHAR), 1, 15))::BIGINT AS h FROM linked GROUP BY 1)) USING (group_qid)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express on whole tables.
 
@@ -136,6 +142,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p1_terms": _TERMS + "SELECT * FROM marked",
         "p3_found": _LINKED,
+        "p3_splits": f"WITH linked AS ({_LINKED}) {_SPLITS}",
         "p4_found": _TOP,
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
