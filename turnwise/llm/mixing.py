@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.llm.encode import token_counts
-from turnwise.scratch import broadcast_if_small, cut, cut_counted, drop
+from turnwise.scratch import broadcast_if_small, cut, drop
 
 BITS = 12
 LEVELS = 5
@@ -48,8 +48,13 @@ def _bucket(level: int) -> Column:
 
 
 def histogram(items: DataFrame) -> DataFrame:
-    """``source, b, n``: the tokens of ``items(source, h, tokens)`` by source and first hash bucket, at most 2**BITS rows per source."""
-    return cut(items.where("source is not null").groupBy("source", _bucket(0).alias("b")).agg(F.sum("tokens").alias("n")), "histogram")
+    """``source, b, n, several``: the tokens of ``items(source, h, tokens)`` by source and first hash bucket, at most 2**BITS rows per source."""
+    return cut(_sums(items.where("source is not null"), "source", 0), "histogram")
+
+
+def _sums(items: DataFrame, by: str, level: int) -> DataFrame:
+    """``by, b, n, several``: the tokens of each bucket of a level, and whether it has different hashes."""
+    return items.groupBy(by, _bucket(level).alias("b")).agg(F.sum("tokens").alias("n"), (F.min("h") < F.max("h")).alias("several"))
 
 
 def targets_of(mix_targets: DataFrame, sized: DataFrame, sums: DataFrame | None = None) -> DataFrame:
@@ -83,42 +88,44 @@ def thresholds(items: DataFrame, sums: DataFrame, budgets: DataFrame) -> DataFra
 
     ``sums`` is the ``histogram`` of ``items``; ``budgets`` has ``name, source, cap,
     wanted``, one row per target. ``path`` holds the crossing bucket of each level,
-    where only the items of the crossing bucket before are looked at again: a hash
-    whose buckets, in order, come before ``path`` takes one more pass. The crossing
-    bucket of the last level is left out, so a mix falls short by less than that.
-    ``short`` marks a budget that ``cap`` passes cannot reach.
+    where only the items of the crossing bucket before are looked at again, as long
+    as these have different hashes: a hash whose buckets, in order, come before
+    ``path`` takes one more pass. The last crossing bucket is left out, so a mix
+    falls short by less than that. ``short`` marks a budget that ``cap`` passes
+    cannot reach.
     """
     sizes = sums.groupBy("source").agg(F.sum("n").alias("size"))
     size, full = F.coalesce("size", F.lit(0)), F.coalesce("size", F.lit(0)) * F.col("cap")
     passes = F.when(size > 0, F.least(F.floor(F.col("wanted") / size), F.col("cap"))).otherwise(0)
     state = budgets.select("name", "source", "cap", "wanted").join(sizes, "source", "left").select("name", "source", "cap", passes.cast("long").alias("passes"), size.alias("size"), (full < F.col("wanted")).alias("short"), "wanted")
     rest = F.when(F.col("passes") >= F.col("cap"), 0.0).otherwise(F.col("wanted") - F.col("passes") * F.col("size"))
-    state, n = cut_counted(state.select("name", "source", "cap", "passes", "short", rest.alias("rest"), F.array().cast("array<long>").alias("path")), "state")
-    inside, rows = None, 1
+    state, n = state.select("name", "source", "cap", "passes", "short", rest.alias("rest"), F.array().cast("array<long>").alias("path")), budgets.count()
+    found = broadcast_if_small(state.select("name", "source"), n).join(sums, "source").drop("source")
+    inside = None
     for level in range(LEVELS):
-        if not rows:  # nothing lies in any crossing bucket
-            state = state.withColumn("path", F.concat("path", F.array_repeat(F.lit(1 << BITS).cast("long"), LEVELS - level)))
-            break
-        if level == 0:
-            found = broadcast_if_small(state.select("name", "source"), n).join(sums, "source").select("name", "b", "n")
-        else:
-            found = inside.groupBy("name", _bucket(level).alias("b")).agg(F.sum("tokens").alias("n"))  # at most 2**BITS rows per target
         upto = found.withColumn("run", F.sum("n").over(Window.partitionBy("name").orderBy("b")))
         # the first bucket that no longer fits; what lies before it is taken
         cross = upto.join(broadcast_if_small(state.select("name", "rest"), n), "name").groupBy("name").agg(
-            F.min(F.when(F.col("run") > F.col("rest"), F.col("b"))).alias("b"), F.max(F.when(F.col("run") <= F.col("rest"), F.col("run"))).alias("taken"),
+            F.min(F.when(F.col("run") > F.col("rest"), F.struct("b", "several"))).alias("at"), F.max(F.when(F.col("run") <= F.col("rest"), F.col("run"))).alias("taken"),
         )
+        # a target that is not looked at again keeps zeros, before which none of its last bucket comes
+        b = F.when(F.col("open"), F.coalesce("at.b", F.lit(1 << BITS))).otherwise(0)
+        if "open" not in state.columns:
+            state = state.withColumn("open", F.lit(True))
         state = state.join(cross, "name", "left").select(
             "name", "source", "cap", "passes", "short", (F.col("rest") - F.coalesce("taken", F.lit(0))).alias("rest"),
-            F.concat("path", F.array(F.coalesce("b", F.lit(1 << BITS)))).alias("path"),
+            F.concat("path", F.array(b.cast("long"))).alias("path"), (F.col("open") & F.coalesce("at.several", F.lit(False))).alias("open"),
         )
         state = cut(state, "state")
-        if level < LEVELS - 1:
-            before = inside
-            part = items.join(broadcast_if_small(state.select("name", "source", "path"), n), "source") if before is None else before.join(broadcast_if_small(state.select("name", "path"), n), "name")
-            inside, rows = cut_counted(part.where(_bucket(level) == F.get("path", level)).select("name", "h", "tokens"), "boundary")
-            drop(before)
-    return broadcast_if_small(state.select("name", "source", "cap", "passes", "path", "short"), n)
+        if level == LEVELS - 1 or not state.where("open").count():
+            break
+        before, again = inside, state.where("open").select("name", "source", F.get("path", level).alias("b"))
+        part = items.join(broadcast_if_small(again, n), "source") if before is None else before.join(broadcast_if_small(again.drop("source"), n), "name")
+        inside = cut(part.where(_bucket(level) == F.col("b")).select("name", "h", "tokens"), "boundary")
+        drop(before)
+        found = _sums(inside, "name", level + 1)
+    path = F.slice(F.concat("path", F.array_repeat(F.lit(0).cast("long"), LEVELS)), 1, LEVELS)
+    return broadcast_if_small(state.select("name", "source", "cap", "passes", path.alias("path"), "short"), n)
 
 
 def shortages(plan: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ Method: frontier breadth-first components. The links of the records form a graph
 over keys (conversations and sessions); its adjacency is a table of edges, joined
 by node and never gathered into lists. Many seeds, picked by hash, expand at once,
 one hop per round, for a fixed number of rounds; each node that no seed has reached
-by then joins the one with the smallest hash among itself and its neighbours that
-are left. Where two labels meet, the pair goes into a graph of labels, which has a
+by then takes as its label the one with the smallest hash among itself and its
+neighbours. Where two labels meet, the pair goes into a graph of labels, which has a
 fraction of the nodes: it is merged in one task where it is small, else by the same
 steps again. Components are then dealt to splits in the order of their hash, by a
 histogram of hash buckets instead of a global sort.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.operators.skew import hot_keys, salted_join
-from turnwise.scratch import broadcast_if_small, cut, cut_counted, drop
+from turnwise.scratch import cut, cut_counted, drop
 
 #: "D<n>" or "<sample>/D<n>", any case of the D, outer blanks, leading zeros, a turn at the end.
 GOLD = r"^\s*(?:(.*\S)\s*/\s*)?[dD]0*([0-9]{1,18})(?::[0-9]+)?\s*$"
@@ -111,9 +111,13 @@ def components(edges: DataFrame, rate: int = 8, max_rounds: int = 2, small: int
         return alone.select("node", F.col("node").alias("component"))
     out = maps[0][0]
     for m, rows in maps[1:]:
-        above = broadcast_if_small(m.select(F.col("node").alias("label"), F.col("label").alias("above")), rows)
-        hot = hot_keys(out.groupBy("label").agg(F.count("*").alias("n")), ["label"], "n", hot_rows)
-        out = salted_join(out, above, ["label"], F.col("node"), hot, "left").select("node", F.coalesce("above", "label").alias("label"))
+        above = m.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        if rows <= small:
+            out = out.join(F.broadcast(above), "label", "left")
+        else:
+            hot = hot_keys(out.groupBy("label").agg(F.count("*").alias("n")), ["label"], "n", hot_rows)
+            out = salted_join(out, above, ["label"], F.col("node"), hot, "left")
+        out = out.select("node", F.coalesce("above", "label").alias("label"))
     return out.unionByName(alone.join(maps[0][0], "node", "left_anti").select("node", F.col("node").alias("label"))).withColumnRenamed("label", "component")
 
 
@@ -124,30 +128,29 @@ def _expand(both: DataFrame, level: int, rate: int, max_rounds: int, hot_rows: i
     label per new node. Edges of a node with more than ``hot_rows`` are spread over
     salts.
     """
-    hot = hot_keys(both.groupBy("a").agg(F.count("*").alias("n")), ["a"], "n", hot_rows)
+    rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(level)), F.col(c).alias("node"))
+    nodes = cut(both.groupBy("a").agg(F.count("*").alias("n"), F.min(rank("b")).alias("near")), "nodes")
+    hot = hot_keys(nodes, ["a"], "n", hot_rows)
 
     def at_start(few: DataFrame, edges: DataFrame) -> DataFrame:
         """``edges`` with what ``few(node, ...)`` says of their start."""
         return salted_join(edges, few.withColumnRenamed("node", "a"), ["a"], F.col("b"), hot)
 
-    nodes = both.select(F.col("a").alias("node")).distinct()
-    seeds = nodes.where(_sampled(F.col("node"), level, rate)).select("node", F.col("node").alias("label"))
+    seed = lambda c: _sampled(F.col(c), level, rate)
     # whether a node is a seed shows in its hash, so the first round needs no join
-    first = both.where(_sampled(F.col("a"), level, rate) & ~_sampled(F.col("b"), level, rate)).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
-    fronts = [cut(first, "front")]
-    reached = seeds.unionByName(fronts[0])
+    fronts = [cut(both.where(seed("a") & ~seed("b")).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "front")]
     for _ in range(max_rounds - 1):
-        new = at_start(fronts[-1], both).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label")).join(reached, "node", "left_anti")
+        new = at_start(fronts[-1], both.where(~seed("b"))).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
+        for seen in fronts[-2:]:  # beside a front lie only nodes of the one before, its own or the next
+            new = new.join(seen, "node", "left_anti")
         fronts.append(cut(new, "front"))
-        reached = reached.unionByName(fronts[-1])
-    left, rest = cut_counted(nodes.join(reached, "node", "left_anti"), "left")
-    if rest:
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(level)), F.col(c).alias("node"))
-        near = at_start(left, both).join(left.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min(rank("b")).alias("m"))
-        own = left.join(near.withColumnRenamed("a", "node"), "node", "left")
-        reached = reached.unionByName(own.select("node", F.least(F.coalesce("m", rank("node")), rank("node"))["node"].alias("label")))
-    labels, n = cut_counted(reached, "labels")
-    for done in (*fronts, left):
+    reached = fronts[0]
+    for f in fronts[1:]:
+        reached = reached.unionByName(f)
+    # a node with the smallest hash around is its own label
+    alone = F.least(rank("node"), F.col("near"))["node"]
+    labels, n = cut_counted(nodes.withColumnRenamed("a", "node").join(reached, "node", "left").select("node", F.when(seed("node"), F.col("node")).otherwise(F.coalesce("label", alone)).alias("label")), "labels")
+    for done in (*fronts, nodes):
         drop(done)
     ends = [labels.select("node", F.col("label").alias(c)) for c in ("la", "lb")]
     met = at_start(ends[0], both.where("a < b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "la")
@@ -168,12 +171,12 @@ def linked_records(examples: DataFrame, conversations: DataFrame, hot_rows: int
     keyed = records.where(F.size("keys") > 0)
     edges = keyed.select(first.alias("a"), F.explode("keys").alias("b")).distinct()
     edges = edges.unionByName(known_samples(keyed.select(F.explode("keys").alias("key")), conversations))
-    nodes = cut(keyed.where("qid is not null").groupBy(first.alias("node")).agg(F.min("qid").alias("least"), F.count("*").alias("n")), "nodes")
-    placed = cut(nodes.select("node", "least").join(components(edges, hot_rows=hot_rows, **how), "node"), "placed")
+    nodes = keyed.where("qid is not null").groupBy(first.alias("node")).agg(F.min("qid").alias("least"), F.count("*").alias("n"))
+    placed = cut(nodes.join(components(edges, hot_rows=hot_rows, **how), "node"), "placed")
     least = placed.groupBy("component").agg(F.min("least").alias("group_qid"), F.count("*").alias("n"))
     hot = hot_keys(least, ["component"], "n", hot_rows)
     of_node = salted_join(placed.select("component", "node"), least.drop("n"), ["component"], F.col("node"), hot).select("node", "group_qid")
-    hot = hot_keys(nodes, ["node"], "n", hot_rows)
+    hot = hot_keys(placed, ["node"], "n", hot_rows)
     rows = records.where("qid is not null").select("qid", first.alias("node"))
     linked = salted_join(rows.where("node is not null"), of_node, ["node"], F.col("qid"), hot).select("qid", "group_qid")
     return linked.unionByName(rows.where("node is null").select("qid", F.col("qid").alias("group_qid")))
