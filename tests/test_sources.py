@@ -1,6 +1,7 @@
 """Readers on small hand-made rows."""
 
 import json
+from collections import Counter
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -90,3 +91,44 @@ def test_seeded_sample_is_exact_and_stable(spark):
     df = spark.range(100).withColumnRenamed("id", "qid")
     a, b = (sorted(r.qid for r in src.seeded_sample(df, "qid", 10, s).collect()) for s in (0, 0))
     assert a == b and len(a) == 10
+
+
+def test_long_texts_are_read_field_by_field(spark):
+    df = rows(spark)
+    whole, by_field = nested.build_store(df), nested.build_store(df, variant_chars=10)
+    for f in (nested.turns_and_attachments, nested.flat_conversations, nested.flat_sessions):
+        assert Counter(map(tuple, f(whole).drop("node_id").collect())) == Counter(map(tuple, f(by_field).drop("node_id").collect()))
+    a, b = (sorted(map(str, src.haystack(df, n).collect())) for n in (nested.VARIANT_CHARS, 10))
+    assert a == b
+    twice = spark.createDataFrame([(1, '{"session_1": [{"text": "a"}], "session_1": [{"text": "b"}, {"text": "c"}]}', T0, "")], SCHEMA)
+    assert nested.flat_turns(nested.build_store(twice, variant_chars=10)).count() == 2 == nested.flat_turns(nested.build_store(twice)).count()
+
+
+def test_a_session_beyond_the_limit_is_an_error(spark):
+    bad = spark.createDataFrame([(1, '{"session_1": [{"text": "unclosed}]}', T0, ""), (2, '{"a": "[ this is only a text", "session_1": [{"text": "x"}]}', T0, "")], SCHEMA)
+    assert nested.flat_turns(nested.build_store(bad)).count() == 1
+
+
+def test_objects_inside_turns_are_nodes(spark):
+    meta = {"edited": True, "reactions": [{"by": "A", "emoji": "x"}, {"emoji": "x", "by": "A"}, None, {"by": "B"}]}
+    turns = [{"speaker": {"name": "A", "device": "phone"}, "text": str(i), "meta": meta, "odd": [1, 2], "place": {"city": {"name": "X"}}} for i in range(3)]
+    text = json.dumps({"session_0001": turns, "notes": {"session_1": [{"note": "n"}]}})
+    store = nested.build_store(spark.createDataFrame([(1, text, T0, "")], SCHEMA))
+    n = {r.kind: (r.n, r.o) for r in store.nodes.groupBy("kind").agg(F.count("*").alias("n"), F.sum("occurrences").alias("o")).collect()}
+    assert n == {"conversation": (1, 1), "session": (1, 1), "turn": (3, 3), "speaker": (1, 3), "meta": (1, 3), "reactions": (2, 9), "place": (1, 3), "city": (1, 3), "notes": (1, 1), "session_1": (1, 1)}
+    assert {r.speaker for r in nested.flat_turns(store).collect()} == {"A"}
+    metas = nested.places_of(store, "meta")
+    assert sorted(r.reactions_no for r in nested.places_of(store, "reactions", metas).where("turn_no = 1").collect()) == [1, 2, 4]
+    assert {r.body for r in nested.with_bodies(store, metas, "meta").collect()} == {'{"edited":true}'}
+
+
+def test_the_sessions_setting_comes_back(spark):
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    nested.build_store(rows(spark))
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == before
+
+
+def test_session_numbers_with_many_zeros(spark):
+    df = spark.createDataFrame([(1, json.dumps({"session_" + "0" * 30 + "7": [{"text": "x"}], "session_0": []}), T0, "")], SCHEMA)
+    assert sorted(r.session_no for r in nested.flat_sessions(nested.build_store(df)).collect()) == [0, 7]
+    assert sorted(r.sidx for r in src.haystack(df).collect()) == [0, 7]

@@ -1,11 +1,14 @@
 """Flat tables from deeply nested conversations, by Merkle identities.
 
-Every object (attachment, turn, session, conversation) gets an identity bottom
-up: the SHA-256 of its kind, its own fields as JSON with sorted keys, and its
-children's identities with their ordinals. Identical objects are stored once in
-``nodes``; ``edges`` (parent, ordinal, child) keeps each place in a parent; and
-``roots`` says which object each conversation is. The flat tables come from
-walking the edges down from the roots.
+Every object gets an identity bottom up: the SHA-256 of its kind, its own fields as
+JSON with sorted keys, and its children's kinds, ordinals and identities. Kinds are
+``conversation``, ``session``, ``turn``, ``attachment``, and of any other object or
+list of objects in a conversation, a turn or an attachment the name of its field
+(such as ``speaker`` or ``meta``), down to the objects inside those (``reactions``);
+what is nested deeper, or beside the turns of a session, stays in the JSON of its
+owner. Identical objects are stored once in ``nodes``; ``edges`` (parent, kind,
+ordinal, child) keeps each place in a parent; and ``roots`` says which object each
+conversation is. The flat tables come from walking the edges down from the roots.
 
 Shapes that are read: a session is an array of turns, an object with ``turns``,
 a lone turn, or any of these as a JSON string; attachments are an array or a lone
@@ -14,29 +17,50 @@ row with the latest time counts (of equal times, the greatest text). Null, empty
 or invalid JSON, and JSON that is no object, gives a conversation without
 sessions and no root. Null entries of arrays take an ordinal and have no row;
 a null key is a conversation of its own. Of a name given twice in one object the
-last value counts. One JSON text may have up to Spark's limit for a VARIANT.
+last value counts. A text longer than ``variant_chars`` is read field by field, as
+one VARIANT has a limit; a single session beyond that limit is an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.operators.skew import hot_keys, salted_join
 from turnwise.scratch import cut
 
 SESSION_KEY = r"^session_0*[0-9]{1,18}$"
+#: Texts up to this length are one VARIANT.
+VARIANT_CHARS = 1 << 24
 
 
 @dataclass
 class NestedStore:
-    """``roots(key, node_id)``, ``nodes(node_id, kind, body, occurrences)``, ``edges(parent_id, kind, ordinal, child_id)``."""
+    """``roots(key, node_id)``, ``nodes(node_id, kind, body, speaker, occurrences)``, ``edges(parent_id, kind, ordinal, child_id)``; ``hot`` are the nodes with very many occurrences.
+
+    ``speaker`` is the name of a turn's speaker, wherever that stands.
+    """
 
     roots: DataFrame
     nodes: DataFrame
     edges: DataFrame
+    hot: DataFrame | None
+
+
+@contextmanager
+def last_value_counts(spark: SparkSession) -> Iterator[None]:
+    """Around the building of a plan that parses JSON: of a name given twice the last value counts. The session's own setting comes back afterwards."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _let(value: Column, make) -> Column:
@@ -72,14 +96,31 @@ def _as_object(v: Column) -> Column:
     return _let(v, lambda x: F.when(_as_map(x).isNotNull() | _as_array(x).isNotNull(), x).otherwise(F.coalesce(_inner(x), x)))
 
 
-def _own_fields(v: Column, *children: str) -> Column:
-    """The fields of an object that are not children, as JSON with sorted keys."""
-    return F.to_json(F.map_filter(_as_map(v), lambda k, _: ~k.isin(*children)))
+def fields_of(text: Column, variant_chars: int = VARIANT_CHARS) -> Column:
+    """An object's fields as ``array<struct<key, value>>``; null for anything else."""
+    whole = F.map_entries(_as_map(F.try_parse_json(text)))
+    pairs = F.map_entries(F.from_json(text, "map<string,string>"))
+    last = F.filter(pairs, lambda e, i: F.array_position(F.reverse(F.transform(pairs, lambda x: x.key)), e.key) == F.size(pairs) - i)
+    too_long = lambda v: F.raise_error(F.lit("one field of a conversation is beyond the limit of a VARIANT")).cast("variant")
+    value = lambda v: F.coalesce(F.try_parse_json(v), F.when((F.length(v) > variant_chars) & v.rlike(r"^\s*[\[{]"), too_long(v)).otherwise(v.cast("variant")))
+    by_field = F.transform(last, lambda e: F.struct(e.key.alias("key"), value(e.value).alias("value")))
+    return F.when(F.length(text) > variant_chars, by_field).otherwise(whole)
+
+
+def _holds_objects(v: Column) -> Column:
+    """Whether a value is an object or a list with an object in it."""
+    return F.coalesce(_as_map(v).isNotNull() | F.exists(_as_array(v), lambda x: _as_map(x).isNotNull()), F.lit(False))
 
 
-def _identity(kind: str, body: Column, children: Column | None = None) -> Column:
-    below = [] if children is None else [F.array_join(F.transform(children, lambda c: F.concat_ws(":", c.ordinal.cast("string"), F.hex(c.id))), ",")]
-    return F.unhex(F.sha2(F.concat_ws("\u0001", F.lit(kind), body, *below), 256))
+def _own(v: Column, *children: str) -> Column:
+    """The fields of an object that are no children, as JSON with sorted keys; another value as it is."""
+    kept = F.map_filter(_as_map(v), lambda k, x: ~k.isin(*children) & ~_holds_objects(x) if children else ~_holds_objects(x))
+    return F.coalesce(F.to_json(kept), F.to_json(v))
+
+
+def _identity(kind: Column, body: Column, children: Column | None = None) -> Column:
+    below = [] if children is None else [F.array_join(F.transform(children, lambda c: F.concat_ws(":", c.kind, c.ordinal.cast("string"), F.hex(c.id))), ",")]
+    return F.unhex(F.sha2(F.concat_ws("\u0001", kind, body, *below), 256))
 
 
 def _numbered(entries: Column, make) -> Column:
@@ -89,89 +130,120 @@ def _numbered(entries: Column, make) -> Column:
     return F.transform(kept, lambda x: make(x.ordinal, x.v))
 
 
-def _attachment(ordinal: Column, v: Column) -> Column:
+def _below(entries: Column, make, *skip: str) -> Column:
+    """The objects among the values of ``entries(key, value)``, each of the kind of its field."""
+    found = F.filter(entries, lambda e: ~e.key.isin(*skip) & _holds_objects(e.value) if skip else _holds_objects(e.value))
+    listed = lambda v: F.coalesce(_as_array(v), F.array(v))
+    return F.flatten(F.transform(found, lambda e: _numbered(listed(e.value), lambda o, x: make(e.key, o, x))))
+
+
+def _entries(v: Column) -> Column:
+    return F.coalesce(F.map_entries(_as_map(v)), F.expr("cast(array() as array<struct<key: string, value: variant>>)"))
+
+
+def _leaf(kind: Column, ordinal: Column, v: Column) -> Column:
     body = F.to_json(v)
-    return F.struct(ordinal.alias("ordinal"), body.alias("body"), _identity("attachment", body).alias("id"))
+    return F.struct(kind.alias("kind"), ordinal.alias("ordinal"), body.alias("body"), _identity(kind, body).alias("id"))
+
+
+def _part(kind: Column, ordinal: Column, v: Column) -> Column:
+    made = F.struct(kind.alias("kind"), ordinal.alias("ordinal"), _own(v).alias("body"), _below(_entries(v), _leaf).alias("children"))
+    return _let(made, lambda m: F.struct(m.kind.alias("kind"), m.ordinal.alias("ordinal"), m.body.alias("body"), m.children.alias("children"), _identity(m.kind, m.body, m.children).alias("id")))
 
 
 def _turn(ordinal: Column, v: Column) -> Column:
-    return F.struct(
-        ordinal.alias("ordinal"),
-        F.coalesce(_own_fields(v, "attachments"), F.to_json(v)).alias("body"),
-        _numbered(_as_list(F.try_variant_get(v, "$.attachments", "variant")), _attachment).alias("children"),
-    )
+    attachments = _numbered(_as_list(F.try_variant_get(v, "$.attachments", "variant")), lambda o, x: _part(F.lit("attachment"), o, x))
+    made = F.struct(_own(v, "attachments").alias("body"), _speaker(v).alias("speaker"), F.concat(attachments, _below(_entries(v), _part, "attachments")).alias("children"))
+    return _let(made, lambda m: F.struct(
+        F.lit("turn").alias("kind"), ordinal.alias("ordinal"), m.body.alias("body"), m.speaker.alias("speaker"), m.children.alias("children"), _identity(F.lit("turn"), m.body, m.children).alias("id")))
+
+
+def _speaker(v: Column) -> Column:
+    """A speaker's name: the string, or an object's ``name``; ``?`` where there is none."""
+    s = F.try_variant_get(v, "$.speaker", "variant")
+    name = F.when(_as_map(s).isNotNull(), F.try_variant_get(v, "$.speaker.name", "string")).when(_as_array(s).isNull(), F.try_variant_get(v, "$.speaker", "string"))
+    return F.coalesce(name, F.lit("?"))
 
 
-def build_store(rows: DataFrame, key: str = "conv_idx", text: str = "conversation", time: str = "received_at", hot_rows: int = 200_000) -> NestedStore:
+def build_store(rows: DataFrame, key: str = "conv_idx", text: str = "conversation", time: str = "received_at", hot_rows: int = 200_000, variant_chars: int = VARIANT_CHARS) -> NestedStore:
     """The Merkle store of the JSON conversations in ``rows``. Other columns are not read."""
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    fields = (
-        rows.select(F.col(key).alias("key"), F.struct(F.col(time).alias("t"), F.col(text).alias("s")).alias("r"))
-        .groupBy("key").agg(F.max("r").alias("r"))
-        .select("key", F.explode(F.array(F.map_entries(_as_map(F.try_parse_json(F.col("r.s")))))).alias("e"))  # explode: parsed once
-        .where("e is not null")
-    )
-    sessions = F.filter("e", lambda e: e.key.rlike(SESSION_KEY))
-    holder = F.col("value")
+    with last_value_counts(rows.sparkSession):
+        per_session = cut(_hashed_sessions(rows, key, text, time, variant_chars), "sessions")
+    return _stored_sessions(per_session, hot_rows)
+
+
+def _hashed_sessions(rows: DataFrame, key: str, text: str, time: str, variant_chars: int) -> DataFrame:
+    """One row per session (or conversation without any): its identity and, in arrays, all objects below with theirs."""
+    latest = rows.select(F.col(key).alias("key"), F.struct(F.col(time).alias("t"), F.col(text).alias("s")).alias("r")).groupBy("key").agg(F.max("r").alias("r"))
+    # explode: parsed once
+    fields = latest.select("key", F.explode(F.array(fields_of(F.col("r.s"), variant_chars))).alias("e")).where("e is not null")
+    is_session = lambda e: e.key.rlike(SESSION_KEY)
+    others = F.filter("e", lambda e: ~is_session(e))
+    plain = F.filter(others, lambda e: ~_holds_objects(e.value))
+    sessions = F.transform(F.filter("e", is_session), lambda e: F.struct(F.regexp_extract(e.key, "0*([0-9]+)$", 1).cast("bigint").alias("no"), e.key.alias("name"), _as_object(e.value).alias("value")))
+    holder = F.col("s.value")
     has_turns = F.coalesce(F.map_contains_key(_as_map(holder), "turns"), F.lit(False))
-    shaped = (
-        fields.select(
-            "key",
-            F.to_json(F.map_from_entries(F.filter("e", lambda e: ~e.key.rlike(SESSION_KEY)))).alias("own"),
-            F.explode_outer(F.transform(sessions, lambda e: F.struct(F.substring(e.key, 9, 18).cast("bigint").alias("no"), e.key.alias("name"), _as_object(e.value).alias("value")))).alias("s"),
-        )
-        .select("key", "own", "s.no", "s.name", "s.value")
-        .select(
-            "key", "own", "no", "name",
-            F.when(has_turns, _own_fields(holder, "turns")).otherwise(F.lit("{}")).alias("body"),
-            _numbered(F.when(has_turns, _as_list(F.try_variant_get(holder, "$.turns", "variant"))).otherwise(_as_list(holder)), _turn).alias("children"),
-        )
-    )
-    hashed = shaped.withColumn(
-        "children",
-        F.transform("children", lambda t: F.struct(t.ordinal.alias("ordinal"), t.body.alias("body"), t.children.alias("children"), _identity("turn", t.body, t.children).alias("id"))),
-    ).withColumn("id", F.when(F.col("no").isNotNull(), _identity("session", F.col("body"), F.col("children"))))
-    per_session = cut(hashed, "sessions")
-
-    session_refs = F.sort_array(F.collect_list(F.when(F.col("no").isNotNull(), F.struct(F.col("no").alias("ordinal"), "name", "id"))))
-    roots = (
-        per_session.groupBy("key").agg(F.first("own").alias("body"), session_refs.alias("children"))
-        .withColumn("id", _identity("conversation", F.concat(F.col("body"), F.array_join("children.name", ",")), F.col("children")))
+    listed = F.when(has_turns, _as_list(F.try_variant_get(holder, "$.turns", "variant"))).otherwise(_as_list(holder))
+    first = F.coalesce(F.col("pos") == 0, F.lit(True))  # the conversation's own fields go along once
+    shaped = fields.select("key", "e", F.posexplode_outer(sessions).alias("pos", "s")).select(
+        "key", F.when(first, F.to_json(F.map_from_entries(plain))).alias("own"), F.when(first, _below(others, _part)).alias("parts"), F.col("s.no").alias("no"), F.col("s.name").alias("name"),
+        F.when(has_turns, F.to_json(F.map_filter(_as_map(holder), lambda k, _: k != "turns"))).otherwise(F.lit("{}")).alias("body"), _numbered(listed, _turn).alias("children"),
     )
+    return shaped.withColumn("id", F.when(F.col("no").isNotNull(), _identity(F.lit("session"), F.col("body"), F.col("children"))))
+
+
+def _stored_sessions(per_session: DataFrame, hot_rows: int) -> NestedStore:
+    """Every object once, and every place of it in a parent."""
+    session_refs = F.sort_array(F.collect_list(F.when(F.col("no").isNotNull(), F.struct(F.lit("session").alias("kind"), F.col("no").alias("ordinal"), "name", "id"))))
+    found = per_session.groupBy("key").agg(F.max("own").alias("body"), F.max("parts").alias("parts"), session_refs.alias("refs"))
+    light = lambda c: F.struct(c.kind.alias("kind"), c.ordinal.alias("ordinal"), c.id.alias("id"))
+    refs = F.concat(F.transform("refs", light), F.transform("parts", light))
+    roots = found.withColumn("children", refs).withColumn("id", _identity(F.lit("conversation"), F.concat(F.col("body"), F.array_join("refs.name", ",")), F.col("children")))
+    roots = cut(roots.select("key", "id", "body", "parts", "children"), "roots")
     present = per_session.where("no is not null")
-    turns = present.select(F.explode("children").alias("c")).select("c.*")
-    attachments = turns.select(F.explode("children").alias("c")).select("c.*")
 
-    def stored(df: DataFrame, kind: str) -> DataFrame:
-        return df.groupBy("id").agg(F.first("body").alias("body"), F.count("*").alias("occurrences")).select(F.col("id").alias("node_id"), F.lit(kind).alias("kind"), "body", "occurrences")
+    def node(kind: Column, c, speaker: Column | None = None) -> Column:
+        return F.struct(kind.alias("kind"), c["id"].alias("node_id"), c["body"].alias("body"), (F.lit(None).cast("string") if speaker is None else speaker).alias("speaker"))
+
+    def below(parts: Column) -> list[Column]:
+        leaves = F.flatten(F.transform(parts, lambda c: c.children))
+        return [F.transform(parts, lambda c: node(c.kind, c)), F.transform(leaves, lambda c: node(c.kind, c))]
 
-    def places(df: DataFrame, kind: str) -> DataFrame:
-        """One parent's list of children stands for all its occurrences."""
-        ids = df.select("id", F.transform("children", lambda c: F.struct(c.ordinal.alias("ordinal"), c.id.alias("id"))).alias("c"))
-        return ids.groupBy("id").agg(F.first("c").alias("c")).select(F.col("id").alias("parent_id"), F.lit(kind).alias("kind"), F.explode("c").alias("c")).select("parent_id", "kind", F.col("c.ordinal").alias("ordinal"), F.col("c.id").alias("child_id"))
+    def family(c, children) -> Column:
+        return F.struct(c["id"].alias("parent_id"), F.transform(children, light).alias("c"))
 
-    nodes = stored(roots, "conversation").unionByName(stored(present, "session")).unionByName(stored(turns, "turn")).unionByName(stored(attachments, "attachment"))
-    edges = places(roots, "session").unionByName(places(present, "turn")).unionByName(places(turns, "attachment"))
-    store = NestedStore(roots.select("key", F.col("id").alias("node_id")), cut(nodes, "nodes"), cut(edges, "edges"))
-    store.hot_rows = hot_rows
-    return store
+    of_parts = lambda parts: F.transform(F.filter(parts, lambda c: F.size(c.children) > 0), lambda c: family(c, c.children))
+    own = {"id": F.col("id"), "body": F.col("body")}
+    turn_parts = F.flatten(F.transform("children", lambda t: t.children))
+    nodes = roots.select(F.explode(F.concat(F.array(node(F.lit("conversation"), own)), *below(F.col("parts")))).alias("n")).unionByName(
+        present.select(F.explode(F.concat(F.array(node(F.lit("session"), own)), F.transform("children", lambda t: node(F.lit("turn"), t, t.speaker)), *below(turn_parts))).alias("n"))
+    )
+    families = roots.select(F.explode(F.concat(F.array(family(own, F.col("children"))), of_parts(F.col("parts")))).alias("f")).unionByName(
+        present.select(F.explode(F.concat(F.array(family(own, F.col("children"))), F.transform(F.filter("children", lambda t: F.size(t.children) > 0), lambda t: family(t, t.children)), of_parts(turn_parts))).alias("f"))
+    )
+    # an identity stands for its body and its children, so these are keys too and all sums are hashed
+    nodes = cut(nodes.select("n.*").groupBy("node_id", "kind", "body", "speaker").agg(F.count("*").alias("occurrences")), "nodes")
+    edges = families.select("f.*").groupBy("parent_id", "c").agg(F.count("*").alias("n")).select("parent_id", F.explode("c").alias("c"))
+    edges = cut(edges.select("parent_id", F.col("c.kind").alias("kind"), F.col("c.ordinal").alias("ordinal"), F.col("c.id").alias("child_id")), "edges")
+    return NestedStore(roots.select("key", F.col("id").alias("node_id")), nodes, edges, hot_keys(nodes, ["node_id"], "occurrences", hot_rows))
 
 
-def _walk(store: NestedStore, above: DataFrame, parent_kind: str, kind: str, names: dict[str, str]) -> DataFrame:
+def _walk(store: NestedStore, above: DataFrame, kind: str, ordinal: str) -> DataFrame:
     """The children of the occurrences in ``above``: its columns but ``node_id`` becomes the child's."""
-    counts = store.nodes.where(F.col("kind") == parent_kind).select(F.col("node_id").alias("parent_id"), "occurrences")
-    hot = hot_keys(counts, ["parent_id"], "occurrences", store.hot_rows)
-    below = store.edges.where(F.col("kind") == kind).select("parent_id", F.col("ordinal").alias(names["ordinal"]), F.col("child_id"))
+    below = store.edges.where(F.col("kind") == kind).select(F.col("parent_id").alias("node_id"), F.col("ordinal").alias(ordinal), "child_id")
     keys = [c for c in above.columns if c != "node_id"]
-    return salted_join(above.withColumnRenamed("node_id", "parent_id"), below, ["parent_id"], F.struct(*keys), hot).select(*keys, names["ordinal"], F.col("child_id").alias("node_id"))
+    return salted_join(above, below, ["node_id"], F.struct(*keys), store.hot).select(*keys, ordinal, F.col("child_id").alias("node_id"))
+
 
+def _stored(store: NestedStore, df: DataFrame, kind: str, *columns: str) -> DataFrame:
+    """``df`` with ``columns`` of each row's object."""
+    held = store.nodes.where(F.col("kind") == kind).select("node_id", *columns)
+    return salted_join(df, held, ["node_id"], F.struct(*[c for c in df.columns if c != "node_id"]), store.hot)
 
-def _bodies(store: NestedStore, df: DataFrame, kind: str) -> DataFrame:
+
+def _bodies(store: NestedStore, df: DataFrame, kind: str, *columns: str) -> DataFrame:
     """``df`` with the variant ``v`` of each row's object."""
-    bodies = store.nodes.where(F.col("kind") == kind).select("node_id", "body", "occurrences")
-    hot = hot_keys(bodies.select("node_id", "occurrences"), ["node_id"], "occurrences", store.hot_rows)
-    return salted_join(df, bodies.drop("occurrences"), ["node_id"], F.struct(*[c for c in df.columns if c != "node_id"]), hot).withColumn("v", F.try_parse_json("body"))
+    return _stored(store, df, kind, "body", *columns).withColumn("v", F.try_parse_json("body"))
 
 
 def flat_conversations(store: NestedStore) -> DataFrame:
@@ -182,30 +254,22 @@ def flat_conversations(store: NestedStore) -> DataFrame:
 
 def flat_sessions(store: NestedStore) -> DataFrame:
     """``conv_idx, session_no, node_id``: one row per session, empty ones too."""
-    return _walk(store, store.roots.withColumnRenamed("key", "conv_idx"), "conversation", "session", {"ordinal": "session_no"})
+    return _walk(store, store.roots.withColumnRenamed("key", "conv_idx"), "session", "session_no")
 
 
 def _turn_places(store: NestedStore) -> DataFrame:
-    return _walk(store, flat_sessions(store), "session", "turn", {"ordinal": "turn_no"})
-
-
-def _speaker(v: Column) -> Column:
-    """A speaker's name: the string, or an object's ``name``; ``?`` where there is none."""
-    s = F.try_variant_get(v, "$.speaker", "variant")
-    name = F.when(_as_map(s).isNotNull(), F.try_variant_get(v, "$.speaker.name", "string")).when(_as_array(s).isNull(), F.try_variant_get(v, "$.speaker", "string"))
-    return F.coalesce(name, F.lit("?"))
+    return _walk(store, flat_sessions(store), "turn", "turn_no")
 
 
 def flat_turns(store: NestedStore) -> DataFrame:
     """``conv_idx, session_no, turn_no, node_id, speaker, dia_id, text``."""
-    d = _bodies(store, _turn_places(store), "turn")
-    return d.select("conv_idx", "session_no", "turn_no", "node_id", _speaker(F.col("v")).alias("speaker"), F.try_variant_get("v", "$.dia_id", "string").alias("dia_id"), F.try_variant_get("v", "$.text", "string").alias("text"))
+    d = _bodies(store, _turn_places(store), "turn", "speaker")
+    return d.select("conv_idx", "session_no", "turn_no", "node_id", "speaker", F.try_variant_get("v", "$.dia_id", "string").alias("dia_id"), F.try_variant_get("v", "$.text", "string").alias("text"))
 
 
 def flat_attachments(store: NestedStore) -> DataFrame:
     """``conv_idx, session_no, turn_no, item_no, node_id, attachment_kind, caption, tags``."""
-    places = _walk(store, _turn_places(store), "turn", "attachment", {"ordinal": "item_no"})
-    d = _bodies(store, places, "attachment")
+    d = _bodies(store, _walk(store, _turn_places(store), "attachment", "item_no"), "attachment")
     return d.select(
         "conv_idx", "session_no", "turn_no", "item_no", "node_id",
         F.try_variant_get("v", "$.kind", "string").alias("attachment_kind"),
@@ -214,10 +278,20 @@ def flat_attachments(store: NestedStore) -> DataFrame:
     )
 
 
+def places_of(store: NestedStore, kind: str, above: DataFrame | None = None) -> DataFrame:
+    """``conv_idx, session_no, turn_no, <kind>_no, node_id``: each place of the objects of a kind below the turns, or below the places ``above``."""
+    return _walk(store, _turn_places(store) if above is None else above, kind, f"{kind}_no")
+
+
+def with_bodies(store: NestedStore, places: DataFrame, kind: str) -> DataFrame:
+    """``places`` with the JSON ``body`` of their objects."""
+    return _stored(store, places, kind, "body")
+
+
 def turns_and_attachments(store: NestedStore) -> DataFrame:
     """``conv_idx, session_no, turn_no, item_no, speaker``: turns have item 0, their attachments 1, 2, ..."""
-    turns = flat_turns(store).select("conv_idx", "session_no", "turn_no", "node_id", "speaker")
+    turns = _stored(store, _turn_places(store), "turn", "speaker")
     # each turn's attachments are found by its identity, so the speaker goes along
-    items = _walk(store, turns, "turn", "attachment", {"ordinal": "item_no"})
+    items = _walk(store, turns, "attachment", "item_no")
     cols = ["conv_idx", "session_no", "turn_no", "item_no", "speaker"]
     return turns.withColumn("item_no", F.lit(0).cast("bigint")).select(*cols).unionByName(items.select(*cols))

@@ -26,7 +26,7 @@ class Corpus:
 
     @cached_property
     def haystack(self) -> DataFrame:
-        return cut(src.haystack(self._table("locomo10")), "haystack")
+        return src.haystack(self._table("locomo10"))
 
     @property
     def turns(self) -> DataFrame:

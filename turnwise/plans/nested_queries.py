@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnwise.operators import nested
 from turnwise.sources.tables import table
@@ -34,8 +35,21 @@ def p2_attachments(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat_attachments(_store(spark, d)).drop("node_id")
 
 
+def p2_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Of the objects inside turns: how many different ones of each kind are stored, how often they occur, and how many places the edges lead to."""
+    store = _store(spark, d)
+    places = {k: nested.places_of(store, k) for k in ("attachment", "speaker", "meta")}
+    places["reactions"] = nested.places_of(store, "reactions", places["meta"])
+    reached = None
+    for kind, rows in places.items():
+        one = rows.agg(F.count("*").alias("places")).select(F.lit(kind).alias("kind"), "places")
+        reached = one if reached is None else reached.unionByName(one)
+    kinds = store.nodes.groupBy("kind").agg(F.count("*").alias("objects"), F.sum("occurrences").alias("occurrences"))
+    return kinds.join(reached, "kind")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_conversations, p2_sessions, p2_turns, p2_attachments)}
+    return {f.__name__: f for f in (p2_found, p2_conversations, p2_sessions, p2_turns, p2_attachments, p2_objects)}
 
 
 #: Latest valid conversation, its sessions of any shape, their turns with position.
@@ -60,7 +74,11 @@ flat_items AS (SELECT * FROM (SELECT conv_idx, session_no, turn_no, speaker, unn
 
 def oracle_sql() -> dict[str, str]:
     with_turns = "WITH " + TURN_CTES
+    metas = "SELECT t -> '$.meta' AS x FROM flat_turns WHERE json_type(t -> '$.meta') = 'OBJECT'"
     return {
+        "p2_objects": with_turns + f", objects AS (SELECT 'attachment' AS kind, x FROM flat_items UNION ALL SELECT 'meta', x FROM ({metas}) UNION ALL SELECT 'speaker', t -> '$.speaker' FROM flat_turns WHERE json_type(t -> '$.speaker') = 'OBJECT'"
+        f" UNION ALL SELECT 'reactions', unnest((x -> '$.reactions')::JSON[]) FROM ({metas}) WHERE json_type(x -> '$.reactions') = 'ARRAY')"
+        " SELECT kind, count(DISTINCT x::VARCHAR) AS objects, count(*) AS occurrences, count(*) AS places FROM objects GROUP BY kind",
         "p2_found": with_turns + "SELECT conv_idx, session_no, turn_no, 0::BIGINT AS item_no, speaker FROM flat_turns UNION ALL SELECT conv_idx, session_no, turn_no, item_no, speaker FROM flat_items",
         "p2_conversations": with_turns + "SELECT conv_idx, j ->> '$.speaker_a' AS speaker_a, j ->> '$.speaker_b' AS speaker_b FROM conv",
         "p2_sessions": with_turns + "SELECT conv_idx, session_no FROM raw_sessions",

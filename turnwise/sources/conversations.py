@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.operators import nested
+from turnwise.scratch import cut
 
 #: "D<n>" with an optional turn, any case, outer blanks, leading zeros.
 GOLD = r"^\s*[dD]0*([0-9]{1,18})(?::[0-9]+)?\s*$"
@@ -29,26 +30,31 @@ def latest(rows: DataFrame, key: str, time: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(time, *others)).alias("r")).select(key, "r.*")
 
 
-def _sessions(conversations: DataFrame) -> DataFrame:
+def _sessions(conversations: DataFrame, variant_chars: int) -> DataFrame:
     """``conv, sidx, items``: sessions of the latest valid conversation, with the list of their turns."""
-    conversations.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last value of a name counts
     held = latest(conversations.select("conv_idx", "received_at", "conversation"), "conv_idx", "received_at")
-    fields = held.select(F.col("conv_idx").alias("conv"), F.explode(nested._as_map(F.try_parse_json("conversation"))).alias("k", "v")).where(F.col("k").rlike(nested.SESSION_KEY))
-    opened = fields.select("conv", F.substring("k", 9, 18).cast("long").alias("sidx"), nested._as_object(F.col("v")).alias("v"))
+    fields = held.select(F.col("conv_idx").alias("conv"), F.explode(nested.fields_of(F.col("conversation"), variant_chars)).alias("e")).select("conv", F.col("e.key").alias("k"), F.col("e.value").alias("v")).where(F.col("k").rlike(nested.SESSION_KEY))
+    opened = fields.select("conv", F.regexp_extract("k", "0*([0-9]+)$", 1).cast("long").alias("sidx"), nested._as_object(F.col("v")).alias("v"))
     inner = F.when(F.map_contains_key(nested._as_map(F.col("v")), "turns"), nested._as_list(F.try_variant_get("v", "$.turns", "variant"))).otherwise(nested._as_list(F.col("v")))
     return opened.select("conv", "sidx", inner.alias("items"))
 
 
-def haystack(conversations: DataFrame) -> DataFrame:
-    """``conv, sidx, turns``: every session of the latest valid conversations with its turns (``tidx, speaker, said, text``).
+def haystack(conversations: DataFrame, variant_chars: int = nested.VARIANT_CHARS) -> DataFrame:
+    """``conv, sidx, turns``: every session of the latest valid conversations with its turns (``tidx, speaker, said, text``), written once.
 
     ``text`` is ``speaker: said``; ``tidx`` counts from 0 and null entries keep
-    their place; a session may be empty.
+    their place; a session may be empty. Texts beyond ``variant_chars`` are read
+    field by field.
     """
+    with nested.last_value_counts(conversations.sparkSession):
+        return cut(_told(_sessions(conversations, variant_chars)), "haystack")
+
+
+def _told(sessions: DataFrame) -> DataFrame:
     said = lambda v: F.coalesce(F.try_variant_get(v, "$.text", "string"), F.lit(""))
     made = F.transform("items", lambda v, i: F.struct(i.cast("long").alias("tidx"), nested._speaker(v).alias("speaker"), said(v).alias("said"), (v.isNotNull() & ~F.is_variant_null(v)).alias("is")))
     kept = F.transform(F.filter(made, lambda t: t["is"]), lambda t: F.struct(t.tidx.alias("tidx"), t.speaker.alias("speaker"), t.said.alias("said"), F.concat(t.speaker, F.lit(": "), t.said).alias("text")))
-    return _sessions(conversations).select("conv", "sidx", kept.alias("turns"))
+    return sessions.select("conv", "sidx", kept.alias("turns"))
 
 
 def turns(haystack: DataFrame) -> DataFrame:
