@@ -127,8 +127,8 @@ SELECT q.qid, coalesce(least.group_qid, q.qid) AS group_qid FROM (SELECT DISTINC
 """
 
 _SPLITS = (
-    "SELECT qid, group_qid, CASE WHEN at < 0.8::DOUBLE THEN 'train' WHEN at < 0.9::DOUBLE THEN 'validation' ELSE 'test' END AS split FROM linked JOIN ("
-    "SELECT group_qid, (sum(n) OVER (ORDER BY h, group_qid) - n / 2) / sum(n) OVER () AS at FROM (SELECT group_qid, count(*) AS n, ('0x' || substr(md5(group_qid::VARCHAR), 1, 15))::BIGINT AS h FROM linked GROUP BY 1)) USING (group_qid)"
+    "SELECT qid, group_qid, CASE WHEN pos < 0.8::DOUBLE THEN 'train' WHEN pos < 0.9::DOUBLE THEN 'validation' ELSE 'test' END AS split FROM linked JOIN ("
+    "SELECT group_qid, (sum(n) OVER (ORDER BY h, group_qid) - n / 2) / sum(n) OVER () AS pos FROM (SELECT group_qid, count(*) AS n, ('0x' || substr(md5(group_qid::VARCHAR), 1, 15))::BIGINT AS h FROM linked GROUP BY 1)) USING (group_qid)"
 )
 
 
