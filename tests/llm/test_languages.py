@@ -104,6 +104,18 @@ def test_held_out_accuracy(spark, trained):
     assert {i for i in truth if i % 3 == 0 or i % 2 == 0} <= wrong | {i for i in truth if got.get(i) != truth[i]}
 
 
+def test_every_document_has_a_row(spark, trained):
+    _, _, weights = trained
+    r = random.Random(11)
+    texts = [" ".join(sentence(r, "de") for _ in range(4)), None, "", "12:45", "ok"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, lang string")
+    got = {d.doc_id: d for d in languages.document_languages(languages.label_segments(docs, weights, hidden=16, with_documents=True)).collect()}
+    assert set(got) == set(range(6)) and got[0].lang == "de" == got[5].lang and got[0].confidence > 0.5 and got[0].segments == 1
+    assert [(got[i].lang, got[i].confidence) for i in (1, 2, 3)] == [(None, None)] * 3 and got[4].lang is not None
+    untrained = languages.document_languages(languages.label_segments(docs, None, with_documents=True)).collect()
+    assert len(untrained) == 6 and {d.lang for d in untrained} == {None}
+
+
 def test_long_text_is_read_to_its_end(spark, trained):
     _, _, weights = trained
     r = random.Random(9)

@@ -20,8 +20,9 @@ the start of a line, addresses, and anything in square, angle or curly brackets.
 Defined cases: null, empty and wordless texts, and texts without a passage of
 ``least_words`` words and ``least_letters`` letters, have no segment; rows keep
 their id, also when it repeats or is null; a text is labelled as a whole, in
-windows, whatever its length. Where no label names a language, nothing can be
-trained and no text has a segment.
+windows, whatever its length. A document's own language is the one with the highest
+probability pooled over all its letters; without a word it is null. Where no label
+names a language, nothing can be trained and no text has a segment or a language.
 """
 
 from __future__ import annotations
@@ -306,11 +307,12 @@ def segments_of(score: np.ndarray, letters: np.ndarray, unit: np.ndarray, least_
 SEGMENTS = "doc_id long, named string, seg_no long, lang string, confidence double, start long, end long, segments long"
 
 
-def label_segments(documents: DataFrame, weights: bytes | None, hidden: int = 24, least_words: int = 3, least_letters: int = 12, chunk: int = 256, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def label_segments(documents: DataFrame, weights: bytes | None, hidden: int = 24, least_words: int = 3, least_letters: int = 12, chunk: int = 256, id: str = "doc_id", text: str = "text", lang: str = "lang", with_documents: bool = False) -> DataFrame:
     """One row per segment: ``doc_id, named, seg_no, lang, confidence, start, end, segments``.
 
     ``named`` is the language that the document's label names, ``start`` and
     ``end`` are code points from 0, ``segments`` is how many the document has.
+    ``with_documents`` adds a row for every document as a whole, with ``seg_no`` 0.
     """
     codes = sorted(NAMES)
     like = bigru.start(hidden, len(codes))
@@ -320,16 +322,16 @@ def label_segments(documents: DataFrame, weights: bytes | None, hidden: int = 24
     known = documents.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if known.value is None:
+        if known.value is None and not with_documents:
             return
-        p = bigru.unpacked(known.value, like)
+        p = like if known.value is None else bigru.unpacked(known.value, like)
         for batch in batches:
             for at in range(0, batch.num_rows, chunk):
                 part = batch.slice(at, chunk)
                 ids, named = part.column(0).to_pylist(), part.column(2).to_pylist()
                 jobs, words = [], []
                 for t in part.column(1).to_pylist():
-                    clean = blanked(t or "")
+                    clean = blanked(t or "") if known.value is not None else ""
                     spans = [m.span() for m in WORD.finditer(clean)]
                     owner = np.full(len(clean), -1, np.int32)
                     for k, (a, b) in enumerate(spans):
@@ -340,12 +342,16 @@ def label_segments(documents: DataFrame, weights: bytes | None, hidden: int = 24
                 out: dict[str, list] = {n: [] for n, _ in fields}
                 for i, score in enumerate(_word_scores(p, jobs, len(codes))):
                     spans, stops = words[i]
-                    if not spans:
-                        continue
-                    s = np.array(spans, np.int64)
-                    found = segments_of(score, s[:, 1] - s[:, 0], np.searchsorted(stops, s[:, 0]), least_words, least_letters)
-                    for k, (a, b, c, conf) in enumerate(found, 1):
-                        for n, v in zip(out, (ids[i], named[i], k, codes[c], conf, spans[a][0], spans[b][1], len(found)), strict=True):
+                    rows, found = [], []
+                    if spans:
+                        s = np.array(spans, np.int64)
+                        found = segments_of(score, s[:, 1] - s[:, 0], np.searchsorted(stops, s[:, 0]), least_words, least_letters)
+                        rows = [(k, codes[c], conf, spans[a][0], spans[b][1]) for k, (a, b, c, conf) in enumerate(found, 1)]
+                    if with_documents:
+                        pooled = np.average(np.exp(score), axis=0, weights=s[:, 1] - s[:, 0]) if spans else None
+                        rows.append((0, codes[int(pooled.argmax())], float(pooled.max()), spans[0][0], spans[-1][1]) if spans else (0, None, None, None, None))
+                    for r in rows:
+                        for n, v in zip(out, (ids[i], named[i], *r, len(found)), strict=True):
                             out[n].append(v)
                 if out["doc_id"]:
                     yield pa.RecordBatch.from_pydict(out, schema=schema)
@@ -354,11 +360,9 @@ def label_segments(documents: DataFrame, weights: bytes | None, hidden: int = 24
     return _for_all_cores(rows).mapInArrow(run, SEGMENTS)
 
 
-def document_languages(segments: DataFrame) -> DataFrame:
-    """``doc_id, lang, confidence, segments``: the language with most text in each document."""
-    per = segments.groupBy("doc_id", "lang").agg(F.sum(F.col("end") - F.col("start")).alias("n"), F.avg("confidence").alias("confidence"), F.max("segments").alias("segments"))
-    best = per.groupBy("doc_id").agg(F.max(F.struct("n", "lang", "confidence", "segments")).alias("m"))
-    return best.select("doc_id", "m.lang", "m.confidence", "m.segments")
+def document_languages(labelled: DataFrame) -> DataFrame:
+    """``doc_id, lang, confidence, segments`` of every document, from ``label_segments`` with documents."""
+    return labelled.where("seg_no = 0").select("doc_id", "lang", "confidence", "segments")
 
 
 def wrong_or_mixed(segments: DataFrame) -> DataFrame:

@@ -72,9 +72,9 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(*_mix(spark, d))
 
 
-def _segments(spark: SparkSession, d: str) -> DataFrame:
+def _segments(spark: SparkSession, d: str, **how) -> DataFrame:
     documents = table(spark, d, "documents")
-    return languages.label_segments(documents, languages.train(documents))
+    return languages.label_segments(documents, languages.train(documents), **how)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +86,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_documents(spark: SparkSession, d: str) -> DataFrame:
-    return languages.document_languages(_segments(spark, d))
+    return languages.document_languages(_segments(spark, d, with_documents=True))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
