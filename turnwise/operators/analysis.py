@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names of the question categories.
 CATEGORIES = {1: "multi-hop", 2: "temporal", 3: "open-domain", 4: "single-hop", 5: "adversarial"}
-#: Buckets of turns in the largest gold session.
+#: Buckets of turns in the largest gold session, for questions with their own haystack and for shared conversations.
 LENGTH_BUCKETS = [("1", 1, 1), ("2-3", 2, 3), ("4-7", 4, 7), ("8-15", 8, 15), ("16+", 16, 10**9)]
 
+LOCOMO_BUCKETS = [("2-7", 2, 7), ("8-15", 8, 15), ("16-25", 16, 25), ("26+", 26, 10**9)]
+
+
+def masked_means(per_query: DataFrame, masks: dict[str, Column], *methods: str) -> DataFrame:
+    """``mask, n`` and the mean of each method over the queries where the mask holds; null where it holds nowhere. One pass for all masks."""
+    each = F.array(*[F.struct(F.lit(name).alias("mask"), F.coalesce(m, F.lit(False)).alias("on")) for name, m in masks.items()])
+    rows = per_query.select(*methods, F.explode(each).alias("m"))
+    on = F.col("m.on")
+    return rows.groupBy(F.col("m.mask").alias("mask")).agg(F.count(F.when(on, 1)).alias("n"), *[F.avg(F.when(on, F.col(x))).alias(x) for x in methods])
+
 
 def by_category(per_query: DataFrame, **methods: str) -> DataFrame:
     """``category, name, n`` and the mean of each ``method=column``; one more row without a category holds all queries."""

@@ -8,54 +8,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.text import tokens
-from turnwise.functions.vectors import dot, unit
+from turnwise.functions.vectors import dot, norm, unit
+from turnwise.operators.skew import salted_join
 
 #: The score of a session without vectors.
 MISSING = -9.0
 
 
-def similarities(questions: DataFrame, query_vectors: DataFrame, turn_vectors: DataFrame) -> DataFrame:
-    """``qid, conv, sidx, tidx, sim``: each question against the turns of its own conversation."""
-    q = questions.select("qid", "conv").join(query_vectors.select("qid", F.col("v").alias("q")), "qid")
-    return q.join(turn_vectors.select("conv", "sidx", "tidx", "v"), "conv").select("qid", "conv", "sidx", "tidx", dot(F.col("q"), F.col("v")).alias("sim"))
+def similarities(questions: DataFrame, query_vectors: DataFrame, turn_vectors: DataFrame, hot: DataFrame | None = None, *keep: str) -> DataFrame:
+    """``qid, conv, sidx, tidx, sim``: each question against the turns of its own conversation.
 
-
-def _max(s: Column) -> Column:
-    return F.array_max(s)
-
-
-def _mean(s: Column) -> Column:
-    return F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s)
+    With ``keep`` (such as ``encoder``) vectors meet only those that agree in these
+    columns of both sides, which stay.
+    """
+    q = questions.select("qid", "conv").join(query_vectors.select("qid", *keep, F.col("v").alias("q")), "qid")
+    pairs = salted_join(q, turn_vectors.select("conv", "sidx", "tidx", *keep, "v"), ["conv", *keep], F.col("qid"), hot)
+    return pairs.select("qid", "conv", "sidx", "tidx", *keep, dot(F.col("q"), F.col("v")).alias("sim"))
 
 
 def _top(k: int) -> Callable[[Column], Column]:
-    return lambda s: _mean(F.slice(F.sort_array(s, False), 1, k))
+    best = lambda s: F.slice(F.sort_array(F.collect_list(s), False), 1, k)
+    return lambda s: F.aggregate(best(s), F.lit(0.0), lambda a, x: a + x) / F.least(F.lit(k), F.count(s))
 
 
 def _lse(beta: float) -> Callable[[Column], Column]:
-    return lambda s: (beta * F.array_max(s) + F.log(F.aggregate(s, F.lit(0.0), lambda a, x: a + F.exp(beta * (x - F.array_max(s)))))) / beta
+    """Similarities of unit vectors are 1 at most, so no power overflows."""
+    return lambda s: (beta + F.log(F.sum(F.exp(beta * (s - 1))))) / beta
 
 
-#: Poolers from an array of a session's turn similarities to its score; add your own.
-POOLERS: dict[str, Callable[[Column], Column]] = {"max": _max, "top3": _top(3), "lse10": _lse(10.0), "mean_sim": _mean}
+#: Poolers: aggregates of a session's turn similarities; add your own. Only ``top3`` needs them as a list.
+POOLERS: dict[str, Callable[[Column], Column]] = {"max": F.max, "top3": _top(3), "lse10": _lse(10.0), "mean_sim": F.avg}
 
 
-def pooled(sims: DataFrame, poolers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """``qid, conv, sidx`` and a column per pooler, in one aggregate over the similarities."""
-    per = sims.groupBy("qid", "conv", "sidx").agg(F.sort_array(F.collect_list("sim"), False).alias("s"))
-    return per.select("qid", "conv", "sidx", *[f(F.col("s")).alias(n) for n, f in (poolers or POOLERS).items()])
+def pooled(sims: DataFrame, poolers: dict[str, Callable[[Column], Column]] | None = None, *keep: str) -> DataFrame:
+    """``qid, conv, sidx`` (and ``keep``) and a column per pooler, in one aggregate over the similarities."""
+    return sims.groupBy("qid", "conv", "sidx", *keep).agg(*[f(F.col("sim")).alias(n) for n, f in (poolers or POOLERS).items()])
 
 
-def early(sims: DataFrame, turn_vectors: DataFrame) -> DataFrame:
-    """``qid, conv, sidx, early``: cosine with the mean turn vector.
+def vector_lengths(turn_vectors: DataFrame) -> DataFrame:
+    """``conv, sidx, len, t``: the length of the sum of a session's turn vectors, and how many they are."""
+    sums = turn_vectors.groupBy("conv", "sidx").agg(F.collect_list("v").alias("vs"))
+    total = F.aggregate(F.slice("vs", 2, 10**9), F.get("vs", 0), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return sums.select("conv", "sidx", norm(total).alias("len"), F.size("vs").alias("t"))
+
 
-    The mean cancels: the sum of similarities over the length of the sum of
+def early_of(summed: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``summed`` (with ``conv, sidx, total``, the sum of similarities) and ``early``, the cosine with the mean turn vector.
+
+    The mean cancels: it is the sum of similarities over the length of the sum of
     vectors, which no question changes.
     """
-    sums = turn_vectors.select("conv", "sidx", F.posexplode("v").alias("i", "x")).groupBy("conv", "sidx", "i").agg(F.sum("x").alias("x"), F.count("*").alias("t"))
-    lengths = sums.groupBy("conv", "sidx").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"), F.max("t").alias("t"))
-    per = sims.groupBy("qid", "conv", "sidx").agg(F.sum("sim").alias("s")).join(lengths, ["conv", "sidx"])
-    return per.select("qid", "conv", "sidx", F.when(F.col("len") / F.col("t") <= 1e-9, MISSING).otherwise(F.col("s") / F.col("len")).alias("early"))
+    return summed.join(lengths, ["conv", "sidx"]).withColumn("early", F.when(F.col("len") / F.col("t") <= 1e-9, MISSING).otherwise(F.col("total") / F.col("len"))).drop("len", "t")
+
+
+def early(sims: DataFrame, turn_vectors: DataFrame) -> DataFrame:
+    """``qid, conv, sidx, early`` from similarities of turns."""
+    return early_of(pooled(sims, {"total": F.sum}), vector_lengths(turn_vectors)).select("qid", "conv", "sidx", "early")
+
+
+def ensemble(scores: DataFrame, signal: str) -> DataFrame:
+    """``qid, conv, sidx, ensemble``: the mean over encoders of the z-scores of ``signal``; ``scores`` has an ``encoder``."""
+    from turnwise.operators.fusion import z_score
+
+    z = scores.withColumn("z", z_score(signal, "qid", "encoder"))
+    return z.groupBy("qid", "conv", "sidx").agg(F.avg("z").alias("ensemble"))
 
 
 def best_turn(sims: DataFrame) -> DataFrame:
@@ -94,15 +110,20 @@ def hashed_vectors(texts: DataFrame, keys: list[str], text: str = "text", dim: i
     return held.select(*keys, full.alias("v")).select(*keys, unit(F.col("v")).alias("v"))
 
 
-def encoded(texts: DataFrame, keys: list[str], encoder: Callable[[list[str]], list[list[float]]], text: str = "text", prefix: str = "") -> DataFrame:
-    """``keys, v`` by an encoder of your own, a function from texts to vectors that runs on Arrow batches."""
+def encoded(texts: DataFrame, keys: list[str], encoder: Callable[[list[str]], list], text: str = "text", prefix: str = "", by_token: bool = False) -> DataFrame:
+    """``keys, v`` by an encoder of your own, a function from texts to vectors that runs on Arrow batches.
+
+    With ``by_token`` it gives a list of vectors for each text, as ``token_maxsim`` takes them.
+    """
     import pyarrow as pa
 
+    kind = pa.list_(pa.list_(pa.float32())) if by_token else pa.list_(pa.float32())
+
     def run(batches):
         for b in batches:
             v = encoder([prefix + (t or "") for t in b.column("__text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.select(keys).columns, pa.array(v, pa.list_(pa.float32()))], names=[*keys, "v"])
+            yield pa.RecordBatch.from_arrays([*b.select(keys).columns, pa.array(v, kind)], names=[*keys, "v"])
 
     rows = texts.select(*keys, F.col(text).alias("__text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("__text").schema)
-    return rows.mapInArrow(run, f"{kinds}, v array<float>")
+    return rows.mapInArrow(run, f"{kinds}, v array<{'array<float>' if by_token else 'float'}>")

@@ -2,7 +2,8 @@
 
 Every fold is fitted on the candidates of the other folds: a sample of at most
 ``max_rows`` rows by the order of a hash, so a group has a known size however
-large the data; column means, deviations and class weights come from that sample.
+large the data. Column means, deviations and class weights are those of all rows of
+the other folds: sums per fold, totals minus the own part.
 """
 
 from __future__ import annotations
@@ -38,21 +39,31 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float, rate: f
     return theta
 
 
+def fold_statistics(design: DataFrame, columns: int = 19) -> DataFrame:
+    """``target, mean, sd, positive`` over the rows of all other folds: columns but the first, and negatives per positive. One row per fold."""
+    at = range(1, columns)
+    sums = [F.count("*").alias("n"), F.sum("y").alias("p"), *[F.sum(F.get("x", i)).alias(f"s{i}") for i in at], *[F.sum(F.get("x", i) * F.get("x", i)).alias(f"q{i}") for i in at]]
+    own = design.groupBy("fold").agg(*sums)
+    everything = Window.partitionBy()  # over one row per fold
+    rest = own.select(F.col("fold").alias("target"), *[(F.sum(c).over(everything) - F.col(c)).alias(c) for c in own.columns[1:]])
+    mean = [F.col(f"s{i}") / F.col("n") for i in at]
+    sd = [F.sqrt(F.greatest(F.col(f"q{i}") / F.col("n") - m * m, F.lit(0.0))) for i, m in zip(at, mean, strict=True)]
+    return rest.where("n > 0").select("target", F.array(*mean).alias("mean"), F.array(*[F.when(d < 1e-9, 1.0).otherwise(d) for d in sd]).alias("sd"), ((F.col("n") - F.col("p")) / F.greatest("p", F.lit(1.0))).alias("positive"))
+
+
 def fold_weights(design: DataFrame, folds: int, max_rows: int = 20_000, l2: float = 1.0, rate: float = 0.5, steps: int = 300) -> DataFrame:
     """``fold, mean, sd, theta`` for each fold, fitted on the rows of all others. ``design`` has a ``fold``."""
     order = Window.partitionBy("fold").orderBy(F.xxhash64("qid", "sidx"), "qid", "sidx")
     # one fold's rows are sampled once and go to each of the other folds
     kept = design.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_rows // max(folds - 1, 1))
-    spread = kept.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("target <> fold")
+    spread = kept.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("target <> fold").join(F.broadcast(fold_statistics(design)), "target")
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["qid", "sidx"])
         x, y = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(float)
-        mean, sd = x[:, 1:].mean(0), x[:, 1:].std(0)
-        sd[sd < 1e-9] = 1.0
+        mean, sd = (np.array(pdf[c].iloc[0], float) for c in ("mean", "sd"))
         x[:, 1:] = (x[:, 1:] - mean) / sd
-        positive = (len(y) - y.sum()) / max(y.sum(), 1.0)
-        theta = fit_logistic(x, y, np.where(y > 0, positive, 1.0), l2, rate, steps)
+        theta = fit_logistic(x, y, np.where(y > 0, pdf["positive"].iloc[0], 1.0), l2, rate, steps)
         return pd.DataFrame({"fold": [int(key[0])], "mean": [mean.tolist()], "sd": [sd.tolist()], "theta": [theta.tolist()]})
 
     return spread.groupBy("target").applyInPandas(fit, "fold long, mean array<double>, sd array<double>, theta array<double>")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.functions.text import query_terms
+from turnwise.functions.text import abstains, answer_tokens, query_terms, token_f1
 
 
 def overlap(question: Column, text: Column) -> Column:
@@ -51,6 +51,25 @@ def read(contexts: DataFrame, reader: Callable[[list[str], list[str]], list[str]
     return contexts.select("qid", "question", "context").mapInArrow(run, "qid long, answer string")
 
 
+#: What the reader without a model says where it finds nothing.
+DECLINED = "not mentioned"
+
+
+def best_line(question: Column, context: Column) -> Column:
+    """The reader without a model: the line with most of the question's terms, the first of equal ones; it declines where no line has any."""
+    asked = query_terms(question)
+    lines = F.transform(F.split(context, "\n"), lambda s, i: F.struct(F.size(F.array_intersect(query_terms(s), asked)).alias("n"), (-i).alias("before"), s.alias("line")))
+    best = F.array_max(lines)
+    return F.when(best.n > 0, best.line).otherwise(DECLINED)
+
+
+def judged(answers: DataFrame, least_f1: float = 0.5) -> DataFrame:
+    """``answers`` (``category, answer, predicted``) with ``adversarial`` and ``right``: 1 where the reader rightly declines, or else reaches ``least_f1``."""
+    adv = adversarial(F.col("category"), F.col("answer"))
+    f1 = token_f1(answer_tokens(F.col("predicted")), answer_tokens(F.col("answer")))
+    return answers.withColumn("adversarial", adv).withColumn("right", F.when(adv, abstains(F.col("predicted"))).otherwise(f1 >= least_f1).cast("double"))
+
+
 def adversarial(category: Column, answer: Column) -> Column:
     """Whether a question has no answer: category 5, or an answer that is null, empty or "None"."""
     return F.coalesce(category == 5, F.lit(False)) | answer.isNull() | answer.isin("", "None")

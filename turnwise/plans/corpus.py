@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.operators import dense, fusion, lexical
+from turnwise.operators import dense, fusion, lexical, selection
+from turnwise.operators.skew import hot_keys
 from turnwise.scratch import cut
 from turnwise.sources import conversations as src
 from turnwise.sources.tables import table
@@ -15,11 +17,27 @@ from turnwise.sources.tables import table
 DIM = 64
 
 
+@dataclass(frozen=True)
+class Params:
+    """What the reference's command lines set, with their defaults."""
+
+    n_boot: int = 4000
+    l2: float = 1.0
+    k: int = 3
+    sample: int = 50
+    read_sample: int = 0
+    seed: int = 0
+    alpha: float = 0.6
+
+
 class Corpus:
     """Conversations, their questions and cached vectors in one folder of tables."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    #: A conversation with more questions than this is spread over several tasks.
+    HOT_QUESTIONS = 20_000
+
+    def __init__(self, spark: SparkSession, folder: str, params: Params | None = None):
+        self.spark, self.folder, self.params = spark, folder, params or Params()
 
     def _table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
@@ -36,6 +54,10 @@ class Corpus:
     def sessions(self) -> DataFrame:
         return self.haystack.select("conv", "sidx")
 
+    @cached_property
+    def tf(self) -> DataFrame:
+        return cut(lexical.term_frequencies(self.turns), "tf")
+
     @cached_property
     def all_questions(self) -> DataFrame:
         return cut(src.examples(self._table("examples")), "questions")
@@ -49,6 +71,11 @@ class Corpus:
         """Questions with a gold session; the others are dropped before any ranking."""
         return src.answered(self.all_questions, self.gold)
 
+    @cached_property
+    def hot(self) -> DataFrame | None:
+        """Conversations with very many questions."""
+        return hot_keys(self.all_questions.groupBy("conv").agg(F.count("*").alias("n")), ["conv"], "n", self.HOT_QUESTIONS)
+
     @property
     def turn_vectors(self) -> DataFrame:
         v = src.vectors(self._table("locomo_turn_cache"), "turn_id", "turns_", "encoded_at", DIM, "conv_idx", "sidx", "tidx")
@@ -61,43 +88,51 @@ class Corpus:
 
     @property
     def candidates(self) -> DataFrame:
-        return lexical.candidates(self.questions, self.sessions)
+        return lexical.candidates(self.questions, self.sessions, self.hot)
 
-    @cached_property
+    @property
     def sims(self) -> DataFrame:
-        return cut(dense.similarities(self.questions, self.query_vectors, self.turn_vectors), "sims")
+        """``qid, conv, sidx, tidx, sim``, to be pooled where they are made."""
+        return dense.similarities(self.questions, self.query_vectors, self.turn_vectors, self.hot)
 
     @property
     def bm25(self) -> DataFrame:
-        return lexical.scores(self.questions, self.turns, self.sessions)
+        return lexical.scores(self.questions, self.turns, self.sessions, tf=self.tf, hot=self.hot)
+
+    def pooled(self, *names: str) -> DataFrame:
+        """``qid, conv, sidx`` and the poolers ``names`` (or ``early``) of all candidates, -9 without vectors, in one pass over the similarities."""
+        made = dense.pooled(self.sims, {n: dense.POOLERS[n] for n in names if n != "early"} | ({"total": F.sum} if "early" in names else {}))
+        if "early" in names:
+            made = dense.early_of(made, dense.vector_lengths(self.turn_vectors))
+        return dense.with_missing(self.candidates, made, *names)
 
     @cached_property
     def signals(self) -> DataFrame:
-        """``qid, conv, sidx, bm, max, early, zb, zd, ze``: lexical and dense scores of all candidates and their z-scores."""
-        late = dense.with_missing(self.candidates, dense.pooled(self.sims, {"max": dense.POOLERS["max"]}), "max")
-        both = self.bm25.join(late.select("qid", "sidx", "max"), ["qid", "sidx"])
-        early = dense.with_missing(self.candidates, dense.early(self.sims, self.turn_vectors), "early")
-        both = both.join(early.select("qid", "sidx", "early"), ["qid", "sidx"])
+        """``qid, conv, sidx, bm, max, zb, zd``: lexical and late scores of all candidates and their z-scores."""
+        both = self.bm25.join(self.pooled("max").select("qid", "sidx", "max"), ["qid", "sidx"])
+        return cut(fusion.standardised(both, zb="bm", zd="max"), "signals")
+
+    @cached_property
+    def all_signals(self) -> DataFrame:
+        """``signals`` with ``early`` and its z-score ``ze``."""
+        both = self.bm25.join(self.pooled("max", "early").select("qid", "sidx", "max", "early"), ["qid", "sidx"])
         return cut(fusion.standardised(both, zb="bm", zd="max", ze="early"), "signals")
 
-    def fused(self, alpha: float = 0.6) -> DataFrame:
+    def fused(self, alpha: float | None = None) -> DataFrame:
         """``qid, conv, sidx, score`` at one weight."""
-        return self.signals.select("qid", "conv", "sidx", fusion.weighted(alpha).alias("score"))
+        return self.signals.select("qid", "conv", "sidx", fusion.weighted(self.params.alpha if alpha is None else alpha).alias("score"))
 
     @cached_property
     def alpha_hits(self) -> DataFrame:
         """``qid, conv, alpha_id, hit`` for 21 weights."""
-        from turnwise.operators import ranking
-
-        swept = fusion.alphas(self.signals).select("qid", "conv", "sidx", "alpha_id", fusion.weighted(F.col("alpha")).alias("score"))
-        return cut(ranking.hits(ranking.best(swept, "score", "qid", "conv", "alpha_id"), self.gold).select("qid", "conv", "alpha_id", "hit"), "alpha")
+        return cut(selection.swept_hits(self.signals, self.gold, "qid", "conv", late="zd").drop("signal"), "alpha")
 
 
 class Challenges:
-    """Questions that bring their own haystack."""
+    """Questions that bring their own haystack; vectors come from the encoder without a model."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, params: Params | None = None):
+        self.spark, self.folder, self.params = spark, folder, params or Params()
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -107,6 +142,10 @@ class Challenges:
     def questions(self) -> DataFrame:
         return self.rows.select(F.col("question_id").alias("qid"), F.col("question_id").alias("conv"), "question", F.coalesce("question_type", F.lit("?")).alias("question_type"))
 
+    @property
+    def turns(self) -> DataFrame:
+        return src.haystack_turns(self.rows)
+
     @property
     def sessions(self) -> DataFrame:
         return src.haystack_sessions(self.rows)
@@ -117,4 +156,28 @@ class Challenges:
 
     @property
     def bm25(self) -> DataFrame:
-        return lexical.scores(self.questions, src.haystack_turns(self.rows), self.sessions)
+        return lexical.scores(self.questions, self.turns, self.sessions)
+
+    @cached_property
+    def turn_vectors(self) -> DataFrame:
+        """Each session is listed by many questions; its turns are encoded once for each text."""
+        texts = cut(self.turns, "texts")
+        coded = dense.hashed_vectors(texts.select("text").distinct(), ["text"])
+        return cut(texts.join(coded, "text").select("conv", "sidx", "tidx", "v"), "vectors")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        """``qid, conv, sidx, bm, max, top3, early, zb, zd, ze``: every session of each question's haystack."""
+        sims = dense.similarities(self.questions, dense.hashed_vectors(self.questions, ["qid"], "question"), self.turn_vectors)
+        made = dense.early_of(dense.pooled(sims, {"max": F.max, "top3": dense.POOLERS["top3"], "total": F.sum}), dense.vector_lengths(self.turn_vectors))
+        both = dense.with_missing(self.bm25.select("qid", "conv", "sidx"), made, "max", "top3", "early").join(self.bm25.select("qid", "sidx", "bm"), ["qid", "sidx"])
+        return cut(fusion.standardised(both, zb="bm", zd="max", ze="early"), "signals")
+
+    @cached_property
+    def fold_hits(self) -> DataFrame:
+        """``qid, fold, signal, alpha_id, hit`` of 21 weights, five folds of questions."""
+        return cut(selection.with_folds(selection.swept_hits(self.signals, self.gold, "qid", fused_late="zd", fused_early="ze"), seed=self.params.seed), "folds")
+
+    @cached_property
+    def choice(self) -> DataFrame:
+        return cut(selection.held_out_choice(self.fold_hits, "fold", "alpha_id", "signal"), "choice")

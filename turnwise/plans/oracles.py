@@ -146,6 +146,35 @@ STEPS = {
     "lidf": "SELECT conv, tok, ln((n_sessions - df + 0.5) / (df + 0.5) + 1) AS idf FROM (SELECT conv, tok, count(*) AS df FROM ltf GROUP BY ALL) x JOIN lstat USING (conv)",
     "lq": f"SELECT question_id AS conv, unnest(list_distinct({_tokens('question')})) AS tok FROM lme",
     "lbm": "SELECT s.conv AS qid, s.sidx, coalesce(b, 0.0) AS bm, CASE WHEN list_contains(answer_session_ids, sid) THEN 1 ELSE 0 END AS g FROM lsess s LEFT JOIN (SELECT q.conv, ltf.sidx, sum(idf * (f * 2.5) / (f + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1e-9)))) AS b FROM lq q JOIN ltf USING (conv, tok) JOIN lidf USING (conv, tok) JOIN ldl ON ldl.conv = q.conv AND ldl.sidx = ltf.sidx JOIN lstat ON lstat.conv = q.conv GROUP BY ALL) m ON m.conv = s.conv AND m.sidx = s.sidx",
+    "esims": "SELECT ex.qid, ex.conv, tv.sidx, encoder, list_inner_product(qv.v[lo:hi], tv.v[lo:hi]) AS sim FROM ex JOIN qv USING (qid) JOIN tv ON tv.conv = ex.conv, (SELECT unnest(['whole', 'head', 'tail']) AS encoder, unnest([1, 1, 33]) AS lo, unnest([64, 32, 64]) AS hi)",
+    "epools": "SELECT qid, sidx, encoder, max(sim) AS max, list_avg(list_reverse_sort(list(sim))[1:3]) AS top3, max(sim) + ln(sum(exp(10 * (sim - mx)))) / 10 AS lse10, avg(sim) AS mean_sim FROM (SELECT *, max(sim) OVER (PARTITION BY qid, sidx, encoder) AS mx FROM esims) GROUP BY ALL",
+    "elong": "SELECT c.qid, c.sidx, c.encoder, bm, unnest(['max', 'top3', 'lse10', 'mean_sim']) AS pooler, unnest([coalesce(p.max, -9.0), coalesce(top3, -9.0), coalesce(lse10, -9.0), coalesce(mean_sim, -9.0)]) AS dense FROM (SELECT qid, sidx, bm, unnest(['whole', 'head', 'tail']) AS encoder FROM bm) c LEFT JOIN epools p ON p.qid = c.qid AND p.sidx = c.sidx AND p.encoder = c.encoder",
+    "ekinds": f"SELECT qid, sidx, encoder, pooler, unnest(['dense', 'fused']) AS kind, unnest([dense, 0.6::DOUBLE * zb + (1 - 0.6::DOUBLE) * zp]) AS score FROM (SELECT *, {_z('bm', 'qid, encoder, pooler')} AS zb, {_z('dense', 'qid, encoder, pooler')} AS zp FROM elong)",
+    "hm": f"SELECT 'bm25' AS method, qid, conv, sidx, rk FROM (SELECT qid, conv, sidx, {_rank('bm')} AS rk FROM sig) UNION ALL SELECT 'fusion', qid, conv, sidx, rk FROM ranked UNION ALL SELECT 'oracle', qid, conv, sidx, row_number() OVER (PARTITION BY qid ORDER BY sidx) FROM (SELECT *, max(g) OVER (PARTITION BY qid) AS has FROM (SELECT c.qid, c.conv, c.sidx, CASE WHEN g.qid IS NULL THEN 0 ELSE 1 END AS g FROM cand c LEFT JOIN gold g ON g.qid = c.qid AND g.sidx = c.sidx)) WHERE g = 1 OR has = 0",
+    "hlines": "SELECT method, qid, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT method, h.qid, string_split(string_agg('[Session D' || h.sidx || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rk), chr(10)) AS l FROM hm h JOIN stext s ON s.conv = h.conv AND s.sidx = h.sidx WHERE rk <= 3 GROUP BY ALL)",
+    "hbest": f"SELECT * FROM (SELECT method, l.qid, category, answer, CASE WHEN n > 0 THEN line ELSE 'not mentioned' END AS predicted, row_number() OVER (PARTITION BY method, l.qid ORDER BY n DESC, i) AS r FROM (SELECT h.*, category, answer, len(list_intersect(list_distinct({_tokens('line')}), list_distinct({_tokens('question')}))) AS n FROM hlines h JOIN ex ON ex.qid = h.qid) l) WHERE r = 1",
+    "hf1s": f"SELECT method, category, answer, predicted, {_answer_tokens('predicted')} AS p, {_answer_tokens('answer')} AS g FROM hbest",
+    "hf1": "SELECT method, category, answer, predicted, CASE WHEN o > 0 THEN 2.0 * o / (len(p) + len(g)) ELSE 0.0 END AS f1 FROM (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))), 0) AS o FROM hf1s)",
+    "qas": "SELECT conv, qa_no, x FROM (SELECT conv_idx AS conv, unnest(items) AS x, generate_subscripts(items, 1) AS qa_no FROM (SELECT conv_idx, CASE WHEN json_valid(qa) AND json_type(qa) = 'ARRAY' THEN qa::JSON[] END AS items FROM (SELECT *, row_number() OVER (PARTITION BY conv_idx ORDER BY received_at DESC NULLS LAST, qa DESC NULLS LAST) AS n FROM locomo10 WHERE conv_idx IS NOT NULL) WHERE n = 1)) WHERE json_type(x) = 'OBJECT'",
+    "qagold": f"SELECT DISTINCT conv, qa_no, s::BIGINT AS sidx FROM (SELECT conv, qa_no, nullif(regexp_extract(e, {_GOLD}, 1), '') AS s FROM (SELECT conv, qa_no, unnest((x -> '$.evidence')::VARCHAR[]) AS e FROM qas WHERE json_type(x -> '$.evidence') = 'ARRAY')) WHERE s IS NOT NULL",
+    "golden": "SELECT w.*, coalesce(t, 0) AS t FROM wide w LEFT JOIN (SELECT g.qid, max(t) AS t FROM gold g JOIN ex USING (qid) JOIN (SELECT conv, sidx, count(*) AS t FROM turns GROUP BY ALL) s ON s.conv = ex.conv AND s.sidx = g.sidx GROUP BY g.qid) x ON x.qid = w.qid",
+    "lturnx": "SELECT conv, sidx, tidx, coalesce(t.role, t.speaker, '?') || ': ' || coalesce(t.content, t.text, '') AS text FROM (SELECT conv, sidx, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS tidx FROM (SELECT question_id AS conv, unnest(haystack_sessions) AS ts, generate_subscripts(haystack_sessions, 1) - 1 AS sidx FROM lme)) WHERE t IS NOT NULL",
+    "lhx": f"SELECT conv, sidx, tidx, h % 64 AS i, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM (SELECT conv, sidx, tidx, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM (SELECT conv, sidx, tidx, unnest({_tokens('text')}) AS tok FROM lturnx)) GROUP BY ALL",
+    "lhn": "SELECT conv, sidx, tidx, sqrt(sum(x * x)) AS n FROM lhx GROUP BY ALL HAVING sum(x * x) > 0",
+    "lqx": f"SELECT conv, h % 64 AS i, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM (SELECT question_id AS conv, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM (SELECT question_id, unnest({_tokens('question')}) AS tok FROM lme)) GROUP BY ALL",
+    "lqn": "SELECT conv, sqrt(sum(x * x)) AS n FROM lqx GROUP BY ALL HAVING sum(x * x) > 0",
+    "lsims": "SELECT t.conv, t.sidx, t.tidx, coalesce(d, 0) / t.n / q.n AS sim FROM lhn t JOIN lqn q ON q.conv = t.conv LEFT JOIN (SELECT h.conv, h.sidx, h.tidx, sum(h.x * q.x) AS d FROM lhx h JOIN lqx q ON q.conv = h.conv AND q.i = h.i GROUP BY ALL) d ON d.conv = t.conv AND d.sidx = t.sidx AND d.tidx = t.tidx",
+    "lpools": "SELECT conv, sidx, max(sim) AS mx, list_avg(list_reverse_sort(list(sim))[1:3]) AS top3, sum(sim) AS s FROM lsims GROUP BY ALL",
+    "llens": "SELECT v.conv, v.sidx, sqrt(sum(x * x)) AS len, max(t) AS t FROM (SELECT h.conv, h.sidx, i, sum(x / n) AS x FROM lhx h JOIN lhn n ON n.conv = h.conv AND n.sidx = h.sidx AND n.tidx = h.tidx GROUP BY ALL) v JOIN (SELECT conv, sidx, count(*) AS t FROM lhn GROUP BY ALL) c ON c.conv = v.conv AND c.sidx = v.sidx GROUP BY ALL",
+    "lsig0": "SELECT b.qid, b.sidx, bm, g, coalesce(mx, -9.0) AS mx, coalesce(top3, -9.0) AS top3, coalesce(CASE WHEN len / t <= 1e-9 THEN -9.0 ELSE s / len END, -9.0) AS early FROM lbm b LEFT JOIN lpools p ON p.conv = b.qid AND p.sidx = b.sidx LEFT JOIN llens l ON l.conv = b.qid AND l.sidx = b.sidx",
+    "lsig": f"SELECT *, {_z('bm')} AS zb, {_z('mx')} AS zd, {_z('early')} AS ze, {_draw(chr(39) + '0:' + chr(39) + ' || qid', '5')} AS fold FROM lsig0",
+    "lmeth": f"SELECT qid, sidx, g, unnest(['bm25', 'early', 'late', 'top3', 'rrf']) AS method, unnest([bm, early, mx, top3, 1.0::DOUBLE / (60 + {_rank('bm')}) + 1.0::DOUBLE / (60 + {_rank('mx')})]) AS score FROM lsig",
+    "lzs": "SELECT qid, sidx, g, fold, zb, unnest(['fused_late', 'fused_early']) AS method, unnest([zd, ze]) AS z FROM lsig",
+    "lahits": f"SELECT qid, fold, method, alpha_id, g AS hit FROM (SELECT *, {_rank('score', 'qid, method, alpha_id')} AS rk FROM (SELECT qid, sidx, g, fold, method, a AS alpha_id, a / 20 * zb + (1 - a / 20) * z AS score FROM lzs, range(0, 21) r(a))) WHERE rk = 1",
+    "lchoice": "SELECT * FROM (SELECT method, fold, alpha_id, ah - h AS train_hits, h AS hits, n, row_number() OVER (PARTITION BY method, fold ORDER BY ah - h DESC, alpha_id) AS r FROM (SELECT method, fold, alpha_id, sum(hit) AS h, count(*) AS n FROM lahits GROUP BY ALL) o JOIN (SELECT method, alpha_id, sum(hit) AS ah FROM lahits GROUP BY ALL) t USING (method, alpha_id)) WHERE r = 1",
+    "lfused": "SELECT s.qid, s.sidx, s.g, s.method, c.alpha_id / 20 * zb + (1 - c.alpha_id / 20) * z AS score FROM lzs s JOIN lchoice c ON c.method = s.method AND c.fold = s.fold",
+    "lpaired": "SELECT h.qid, a.hit AS a, h.hit AS b FROM lahits h JOIN lchoice c ON c.method = h.method AND c.fold = h.fold AND c.alpha_id = h.alpha_id JOIN lahits a ON a.qid = h.qid AND a.method = h.method AND a.alpha_id = 20 WHERE h.method = 'fused_late'",
+    "lgolden": f"SELECT e.qid, e.hit AS early, l.hit AS late, coalesce(t, 0) AS t FROM (SELECT qid, g AS hit FROM (SELECT qid, g, {_rank('early')} AS rk FROM lsig) WHERE rk = 1) e JOIN (SELECT qid, g AS hit FROM (SELECT qid, g, {_rank('mx')} AS rk FROM lsig) WHERE rk = 1) l ON l.qid = e.qid LEFT JOIN (SELECT b.qid, max(t) AS t FROM lbm b JOIN (SELECT conv, sidx, count(*) AS t FROM lturnx GROUP BY ALL) c ON c.conv = b.qid AND c.sidx = b.sidx WHERE g = 1 GROUP BY b.qid) x ON x.qid = e.qid",
 }
 
 _TURN_STEPS = dict(re.findall(r"(?ms)^(\w+) AS (\(.*?\))(?:,\n|\n?\Z)(?=\w+ AS \(|\Z)", TURN_CTES.strip() + "\n"))
@@ -187,9 +216,28 @@ def _contrast(a: str, b: str, wide: str = "wide") -> str:
     return f"{head}, pairs AS (SELECT{tail})" + _bootstrap("pairs", "conv")
 
 
-def _paired_bootstrap(unit: str) -> str:
-    base = sql("SELECT * FROM paired")
-    return base.rsplit("\nSELECT", 1)[0] + _bootstrap("paired", unit)
+def _paired_bootstrap(unit: str, pairs: str = "paired") -> str:
+    base = sql(f"SELECT * FROM {pairs}")
+    return base.rsplit("\nSELECT", 1)[0] + _bootstrap(pairs, unit)
+
+
+def _abstains(text: str) -> str:
+    return " OR ".join(f"contains(lower(coalesce({text}, '')), '{p.replace(chr(39), chr(39) * 2)}')" for p in ABSTENTIONS)
+
+
+def _judged(source: str, more: str = "") -> str:
+    """Rows of answers with whether they are adversarial, decline and are right."""
+    return f"SELECT *, CASE WHEN adversarial THEN abst ELSE f1 >= 0.5 END AS ok FROM (SELECT {more}coalesce(category = 5, false) OR answer IS NULL OR answer IN ('', 'None') AS adversarial, f1, {_abstains('predicted')} AS abst FROM {source})"
+
+
+def _lme_metrics_of(scores: str) -> str:
+    ranked = f"(SELECT qid, method, g, {_rank('score', 'qid, method')} AS rk FROM {scores})"
+    means = ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("recall1", "recall3", "recall5", "mrr", "ndcg5"))
+    return f"SELECT method, count(*) AS n, {means}, round(avg(CASE WHEN recall1 > 0 THEN 1.0 ELSE 0.0 END), 6) AS r1_indicator FROM ({_metrics(ranked, 'qid, method')}) GROUP BY method"
+
+
+def _by_length(source: str, names: str, lows: str, highs: str, keep: str = "") -> str:
+    return f"SELECT bucket, count(qid) AS n, round(avg(early), 6) AS early, round(avg(late), 6) AS late, round(100 * (avg(late) - avg(early)), 6) AS gap_pp FROM (SELECT unnest([{names}]) AS bucket, unnest([{lows}]) AS lo, unnest([{highs}]) AS hi) b LEFT JOIN {source} y ON t BETWEEN lo AND hi GROUP BY bucket{keep}"
 
 
 _LME_RANKED = f"(SELECT qid, g, {_rank('bm')} AS rk FROM lbm)"
@@ -240,7 +288,17 @@ _FINAL = {
     "query_features": "SELECT qid, " + ", ".join(f"f_{n} AS {n}" for n in ("short", "long", "temporal", "when", "would", "n_caps", "has_num")).replace(" AS when", ' AS "when"') + " FROM feats",
     "design_matrix": "SELECT s.qid, s.sidx, CASE WHEN g.qid IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y, 1.0::DOUBLE AS x00, round(zb, 6) AS x01, round(zd, 6) AS x02, " + "round(60.0::DOUBLE / (60 + rb), 6) AS x03, round(60.0::DOUBLE / (60 + rd), 6) AS x04, " + ", ".join(f"round(f_{n} * {z}, 6) AS x{5 + 7 * k + i:02d}" for k, z in enumerate(("zb", "zd")) for i, n in enumerate(("short", "long", "temporal", "when", "would", "n_caps", "has_num"))) + f" FROM (SELECT *, {_rank('bm')} AS rb, {_rank('mx')} AS rd FROM sig) s JOIN feats f ON f.qid = s.qid LEFT JOIN gold g ON g.qid = s.qid AND g.sidx = s.sidx",
     "token_f1": "SELECT qid, round(f1, 6) AS f1 FROM f1",
-    "abstention": "SELECT adversarial, count(*) AS n, round(avg(CASE WHEN CASE WHEN adversarial THEN abst ELSE f1 >= 0.5 END THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (SELECT coalesce(category = 5, false) OR answer IS NULL OR answer IN ('', 'None') AS adversarial, f1, " + " OR ".join(f"contains(lower(coalesce(predicted, '')), '{p.replace(chr(39), chr(39) * 2)}')" for p in ABSTENTIONS) + " AS abst FROM f1) GROUP BY adversarial",
+    "read_harness": f"SELECT method, adversarial, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(CASE WHEN abst THEN 1.0 ELSE 0.0 END), 6) AS abstained FROM ({_judged('hf1', 'method, ')}) GROUP BY ALL",
+    "qa_examples": "SELECT q.conv, q.qa_no, x ->> '$.question' AS question, x ->> '$.answer' AS answer, try_cast(x ->> '$.category' AS INT) AS category, coalesce(n, 0) AS n_gold FROM qas q LEFT JOIN (SELECT conv, qa_no, count(*) AS n FROM qagold GROUP BY ALL) g ON g.conv = q.conv AND g.qa_no = q.qa_no",
+    "qa_gold": "SELECT conv, qa_no, sidx FROM qagold",
+    "masked_hits": "SELECT mask, count(*) FILTER (yes) AS n, round(avg(bm25) FILTER (yes), 6) AS bm25, round(avg(late) FILTER (yes), 6) AS late, round(avg(weighted) FILTER (yes), 6) AS weighted FROM (SELECT w.*, unnest(['adversarial', 'temporal', 'short', 'none']) AS mask, unnest([coalesce(category = 5, false), f_temporal = 1, f_short = 1, false]) AS yes FROM wide w JOIN ex ON ex.qid = w.qid JOIN feats f ON f.qid = w.qid) GROUP BY mask",
+    "length_buckets_locomo": _by_length("golden", "'2-7', '8-15', '16-25', '26+'", "2, 8, 16, 26", "7, 15, 25, 1000000000"),
+    "encoder_pooler_sweep": f"SELECT encoder, pooler, kind, count(*) AS n, sum(CASE WHEN g.qid IS NULL THEN 0 ELSE 1 END)::BIGINT AS hits FROM (SELECT *, {_rank('score', 'qid, encoder, pooler, kind')} AS rk FROM ekinds) r LEFT JOIN gold g ON g.qid = r.qid AND g.sidx = r.sidx WHERE rk = 1 GROUP BY ALL",
+    "lme_late_metrics": _lme_metrics_of("lmeth"),
+    "lme_fused_metrics": _lme_metrics_of("lfused"),
+    "lme_kfold_alpha": "SELECT method, fold, alpha_id::INT AS alpha_id, train_hits::BIGINT AS train_hits, hits::BIGINT AS hits, n FROM lchoice",
+    "lme_gap_by_size": _by_length("lgolden", "'1', '2-3', '4-7', '8-15', '16+'", "1, 2, 4, 8, 16", "1, 3, 7, 15, 1000000000", " HAVING count(qid) > 0"),
+    "abstention": f"SELECT adversarial, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_judged('f1')}) GROUP BY adversarial",
     "longest_line": "SELECT h.conv, h.sidx, line FROM haystack h LEFT JOIN (SELECT conv, sidx, line FROM (SELECT *, row_number() OVER (PARTITION BY conv, sidx ORDER BY length(line) DESC, i) AS r FROM (SELECT conv, sidx, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM stext) WHERE trim(line) <> '') WHERE r = 1) x USING (conv, sidx)",
     "rerank_topk": f"SELECT qid, sidx, rk::INT AS rk, round(sc, 6) AS rerank_score, (row_number() OVER (PARTITION BY qid ORDER BY round(sc, 9) DESC, rk))::INT AS rr FROM (SELECT qid, sidx, rk, CASE WHEN u > 0 THEN i / u ELSE 0.0 END AS sc FROM (SELECT s.qid, sidx, rk, len(list_distinct(list_concat(q, t))) AS u, len(list_intersect(q, t)) AS i FROM (SELECT *, list_distinct({_tokens('snippet')}) AS t FROM snip WHERE rk <= 10) s JOIN (SELECT qid, list_distinct({_tokens('question')}) AS q FROM ex) e ON e.qid = s.qid))",
     "context_pack": "SELECT qid, md5(c) AS context_md5, length(c)::INT AS n_chars FROM (SELECT r.qid, string_agg('[Session D' || r.sidx || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rk) AS c FROM ranked r JOIN stext s ON s.conv = r.conv AND s.sidx = r.sidx WHERE rk <= 3 GROUP BY r.qid)",
@@ -256,6 +314,6 @@ _FINAL = {
 
 def oracle_sql() -> dict[str, str]:
     out = {k: sql(v) for k, v in _FINAL.items()}
-    out |= {"cluster_bootstrap": _paired_bootstrap("conv"), "question_bootstrap": _paired_bootstrap("qid")}
+    out |= {"cluster_bootstrap": _paired_bootstrap("conv"), "question_bootstrap": _paired_bootstrap("qid"), "lme_question_bootstrap": _paired_bootstrap("qid", "lpaired")}
     out |= {"loco_fusion_late_vs_early": _contrast("loco_early", "loco", "lowide"), "loco_fusion_vs_late": _contrast("late", "loco", "lowide")}
     return out | {"late_vs_early": _contrast("early", "late"), "fusion_late_vs_early": _contrast("weighted_early", "weighted"), "fusion_vs_late": _contrast("late", "weighted")}

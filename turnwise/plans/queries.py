@@ -8,23 +8,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as tx
+from turnwise.functions.draws import draw
+from turnwise.functions.vectors import dot
 from turnwise.operators import analysis, dense, fusion, learned, lexical, ranking, rerank, selection, stats
-from turnwise.plans.corpus import Challenges, Corpus
+from turnwise.operators.skew import salted_join
+from turnwise.plans.corpus import Challenges, Corpus, Params
 from turnwise.scratch import broadcast_if_small, cut, cut_counted, drop
 from turnwise.sources import conversations as src
 from turnwise.sources.tables import table
 
-N_BOOT = 4000
+N_BOOT = Params().n_boot
 _REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def _query(f: Callable[[Corpus], DataFrame]) -> Callable:
-    _REGISTERED[f.__name__] = lambda spark, d: f(Corpus(spark, d))
+    _REGISTERED[f.__name__] = lambda spark, d, **p: f(Corpus(spark, d, Params(**p)))
     return f
 
 
 def _lme(f: Callable[[Challenges], DataFrame]) -> Callable:
-    _REGISTERED[f.__name__] = lambda spark, d: f(Challenges(spark, d))
+    _REGISTERED[f.__name__] = lambda spark, d, **p: f(Challenges(spark, d, Params(**p)))
     return f
 
 
@@ -43,7 +46,7 @@ def _r(c: str | Column, digits: int = 6) -> Column:
 
 @_query
 def tok_counts(c: Corpus) -> DataFrame:
-    return lexical.document_lengths(lexical.term_frequencies(c.turns), c.sessions).select("conv", "sidx", F.col("dl").cast("long").alias("dl"))
+    return lexical.document_lengths(c.tf, c.sessions).select("conv", "sidx", F.col("dl").cast("long").alias("dl"))
 
 
 @_query
@@ -53,19 +56,18 @@ def query_terms(c: Corpus) -> DataFrame:
 
 @_query
 def tf_topterms(c: Corpus) -> DataFrame:
-    return lexical.term_frequencies(c.turns).groupBy("tok").agg(F.sum("f").alias("f"), F.count("*").alias("df")).orderBy(F.desc("f"), "tok").limit(12)
+    return c.tf.groupBy("tok").agg(F.sum("f").alias("f"), F.count("*").alias("df")).orderBy(F.desc("f"), "tok").limit(12)
 
 
 @_query
 def corpus_stats(c: Corpus) -> DataFrame:
-    s = lexical.corpus_stats(lexical.document_lengths(lexical.term_frequencies(c.turns), c.sessions))
+    s = lexical.corpus_stats(lexical.document_lengths(c.tf, c.sessions))
     return s.select("conv", "n_sessions", _r("avgdl"))
 
 
 @_query
 def idf_values(c: Corpus) -> DataFrame:
-    tf = lexical.term_frequencies(c.turns)
-    return lexical.idf(tf, lexical.corpus_stats(lexical.document_lengths(tf, c.sessions))).select("conv", "tok", "df", _r("idf"))
+    return lexical.idf(c.tf, lexical.corpus_stats(lexical.document_lengths(c.tf, c.sessions))).select("conv", "tok", "df", _r("idf"))
 
 
 @_query
@@ -75,18 +77,20 @@ def bm25_scores(c: Corpus) -> DataFrame:
 
 @_query
 def bm25l_scores(c: Corpus) -> DataFrame:
-    return lexical.scores(c.questions, c.turns, c.sessions, lexical.bm25l()).select("qid", "sidx", _r("bm"))
+    return lexical.scores(c.questions, c.turns, c.sessions, lexical.bm25l(), c.tf, c.hot).select("qid", "sidx", _r("bm"))
 
 
 def _grid_hits(c: Corpus) -> DataFrame:
     """``qid, conv, config_id, hit``; a question without any match falls to its first session under every configuration."""
-    configs = c.spark.createDataFrame(lexical.grid(), "config_id int, variant string, k1 double, b double")
-    matched = lexical.matches(c.questions, c.turns, c.sessions)
-    best = ranking.best(lexical.grid_scores(matched, configs), "bm", "qid", "conv", "config_id").select("qid", "conv", "config_id", "sidx", "bm")
-    first = c.candidates.groupBy("qid", "conv").agg(F.min("sidx").alias("first")).crossJoin(F.broadcast(configs.select("config_id")))
+    configs = lexical.grid()
+    best = lexical.grid_best(lexical.matches(c.questions, c.turns, c.sessions, c.tf, c.hot), configs)
     # no contribution is negative, so a matched session beats those with 0 unless it is 0 itself
-    top = first.join(best, ["qid", "conv", "config_id"], "left").select("qid", "conv", "config_id", F.when(F.col("bm") > 0, F.col("sidx")).otherwise(F.col("first")).alias("sidx"))
-    return ranking.hits(top, c.gold).select("qid", "conv", "config_id", "hit")
+    first = salted_join(c.questions.select("qid", "conv"), c.sessions.groupBy("conv").agg(F.min("sidx").alias("first")), ["conv"], F.col("qid"), c.hot)
+    golds = c.gold.groupBy("qid").agg(F.collect_set("sidx").alias("golds"))
+    rows = first.join(best.drop("conv"), "qid", "left").join(golds, "qid", "left")
+    tops = F.transform(F.coalesce("best", F.array_repeat(F.lit(None).cast("long"), len(configs))), lambda x: F.coalesce(x, F.col("first")))
+    hit = F.transform(tops, lambda x: F.coalesce(F.array_contains("golds", x), F.lit(False)).cast("int"))
+    return rows.select("qid", "conv", F.posexplode(hit).alias("config_id", "hit"))
 
 
 @_query
@@ -114,27 +118,27 @@ def dense_poolers(c: Corpus) -> DataFrame:
 
 @_query
 def dense_maxsim(c: Corpus) -> DataFrame:
-    return dense.with_missing(c.candidates, dense.pooled(c.sims, {"max": dense.POOLERS["max"]}), "max").select("qid", "sidx", _r("max"))
+    return c.pooled("max").select("qid", "sidx", _r("max"))
 
 
 @_query
 def dense_top3(c: Corpus) -> DataFrame:
-    return dense.with_missing(c.candidates, dense.pooled(c.sims, {"top3": dense.POOLERS["top3"]}), "top3").select("qid", "sidx", _r("top3"))
+    return c.pooled("top3").select("qid", "sidx", _r("top3"))
 
 
 @_query
 def dense_lse10(c: Corpus) -> DataFrame:
-    return dense.with_missing(c.candidates, dense.pooled(c.sims, {"lse10": dense.POOLERS["lse10"]}), "lse10").select("qid", "sidx", _r("lse10"))
+    return c.pooled("lse10").select("qid", "sidx", _r("lse10"))
 
 
 @_query
 def dense_mean_of_sims(c: Corpus) -> DataFrame:
-    return dense.with_missing(c.candidates, dense.pooled(c.sims, {"mean_sim": dense.POOLERS["mean_sim"]}), "mean_sim").select("qid", "sidx", _r("mean_sim"))
+    return c.pooled("mean_sim").select("qid", "sidx", _r("mean_sim"))
 
 
 @_query
 def dense_early_mean(c: Corpus) -> DataFrame:
-    return dense.with_missing(c.candidates, dense.early(c.sims, c.turn_vectors), "early").select("qid", "sidx", _r("early"))
+    return c.pooled("early").select("qid", "sidx", _r("early"))
 
 
 @_query
@@ -142,9 +146,7 @@ def dense_session_text(c: Corpus) -> DataFrame:
     """Session texts and questions encoded by hashing, one vector per session."""
     s = dense.hashed_vectors(src.session_texts(c.haystack), ["conv", "sidx"]).withColumnRenamed("v", "w")
     q = dense.hashed_vectors(c.questions, ["qid", "conv"], "question")
-    from turnwise.functions.vectors import dot
-
-    scored = q.join(s, "conv").select("qid", "sidx", dot(F.col("v"), F.col("w")).alias("text_sim"))
+    scored = salted_join(q, s, ["conv"], F.col("qid"), c.hot).select("qid", "sidx", dot(F.col("v"), F.col("w")).alias("text_sim"))
     return dense.with_missing(c.candidates, scored, "text_sim").select("qid", "sidx", _r("text_sim"))
 
 
@@ -157,22 +159,46 @@ def best_turn(c: Corpus) -> DataFrame:
 def token_maxsim(c: Corpus) -> DataFrame:
     """Token vectors are the four pieces of each cached vector."""
     q = c.questions.select("qid", "conv").join(c.query_vectors.withColumnRenamed("v", "q"), "qid")
-    per = q.join(c.turn_vectors, "conv").select("qid", "conv", "sidx", dense.token_maxsim(dense.in_pieces(F.col("q"), 16), dense.in_pieces(F.col("v"), 16)).alias("s"))
+    per = salted_join(q, c.turn_vectors, ["conv"], F.col("qid"), c.hot).select("qid", "conv", "sidx", dense.token_maxsim(dense.in_pieces(F.col("q"), 16), dense.in_pieces(F.col("v"), 16)).alias("s"))
     scored = per.groupBy("qid", "sidx").agg(F.greatest(F.max("s"), F.lit(dense.MISSING)).alias("token_max"))
     return dense.with_missing(c.candidates, scored, "token_max").select("qid", "sidx", _r("token_max"))
 
 
+#: Stand-ins for encoders: the whole cached vectors, their first and their second half (first coordinate, number).
+ENCODERS = {"whole": (1, 64), "head": (1, 32), "tail": (33, 32)}
+
+
+def _by_encoder(vectors: DataFrame) -> DataFrame:
+    """``vectors`` once per encoder, as a cache of several encoders holds them."""
+    each = F.array(*[F.struct(F.lit(e).alias("encoder"), F.slice("v", a, n).alias("v")) for e, (a, n) in ENCODERS.items()])
+    return vectors.withColumn("e", F.explode(each)).withColumn("encoder", F.col("e.encoder")).withColumn("v", F.col("e.v")).drop("e")
+
+
+def _encoder_scores(c: Corpus, *poolers: str) -> DataFrame:
+    """``qid, conv, sidx, encoder`` and the poolers of all candidates."""
+    sims = dense.similarities(c.questions, _by_encoder(c.query_vectors), _by_encoder(c.turn_vectors), c.hot, "encoder")
+    made = dense.pooled(sims, {p: dense.POOLERS[p] for p in poolers}, "encoder")
+    all_of = c.candidates.withColumn("encoder", F.explode(F.array(*map(F.lit, ENCODERS))))
+    kept = all_of.join(made.drop("conv"), ["qid", "sidx", "encoder"], "left")
+    return kept.select("qid", "conv", "sidx", "encoder", *[F.coalesce(p, F.lit(dense.MISSING)).alias(p) for p in poolers])
+
+
 @_query
 def ensemble_scores(c: Corpus) -> DataFrame:
-    """Three encoders: the whole vectors, their first and their second half; the mean of their z-scores."""
-    from turnwise.functions.vectors import dot
+    return dense.ensemble(_encoder_scores(c, "max"), "max").select("qid", "sidx", _r("ensemble"))
 
-    q = c.questions.select("qid", "conv").join(c.query_vectors.withColumnRenamed("v", "q"), "qid")
-    cut_to = {"whole": (1, 64), "head": (1, 32), "tail": (33, 32)}
-    sims = [dot(F.slice("q", a, n), F.slice("v", a, n)).alias(e) for e, (a, n) in cut_to.items()]
-    late = q.join(c.turn_vectors, "conv").select("qid", "conv", "sidx", *sims).groupBy("qid", "sidx").agg(*[F.max(e).alias(e) for e in cut_to])
-    z = fusion.standardised(dense.with_missing(c.candidates, late, *cut_to), **{f"z_{e}": e for e in cut_to})
-    return z.select("qid", "sidx", _r((F.col("z_whole") + F.col("z_head") + F.col("z_tail")) / 3).alias("ensemble"))
+
+@_query
+def encoder_pooler_sweep(c: Corpus) -> DataFrame:
+    """Hits of every encoder and pooler, alone and fused at the fixed weight, in one long relation."""
+    both = _encoder_scores(c, *dense.POOLERS).join(c.bm25.select("qid", "sidx", "bm"), ["qid", "sidx"])
+    names = list(dense.POOLERS)
+    z = both.select("*", fusion.z_score("bm", "qid", "encoder").alias("zb"), *[fusion.z_score(p, "qid", "encoder").alias(f"z_{p}") for p in names])
+    kinds = [F.struct(F.lit(p).alias("pooler"), F.lit(k).alias("kind"), x.alias("score")) for p in names for k, x in (("dense", F.col(p)), ("fused", fusion.weighted(c.params.alpha, dense=f"z_{p}")))]
+    # the best session of each kind in one aggregate, before kinds become rows
+    top = z.groupBy("qid", "encoder").agg(F.array(*[F.max(F.struct(F.round(k["score"], 9).alias("s"), (-F.col("sidx")).alias("b"), k["pooler"].alias("pooler"), k["kind"].alias("kind"))) for k in kinds]).alias("t"))
+    long = top.select("qid", "encoder", F.explode("t").alias("t")).select("qid", "encoder", "t.pooler", "t.kind", (-F.col("t.b")).alias("sidx"))
+    return ranking.hits(long, c.gold).groupBy("encoder", "pooler", "kind").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
 
 
 # fusion, ranking, metrics
@@ -180,7 +206,7 @@ def ensemble_scores(c: Corpus) -> DataFrame:
 
 @_query
 def fusion_fixed06(c: Corpus) -> DataFrame:
-    return c.fused(0.6).select("qid", "sidx", _r("score"))
+    return c.fused().select("qid", "sidx", _r("score"))
 
 
 @_query
@@ -201,33 +227,32 @@ def rank_full(c: Corpus) -> DataFrame:
 
 @_query
 def topk_sessions(c: Corpus) -> DataFrame:
-    return ranking.top_k(c.fused(), 3).select("qid", "sidx", "rk")
+    return ranking.top_k(c.fused(), c.params.k).select("qid", "sidx", "rk")
 
 
 @_query
 def oracle_topk(c: Corpus) -> DataFrame:
-    return ranking.oracle_top_k(lexical.candidates(c.all_questions, c.sessions), c.gold, 3).select("qid", "sidx", "rk")
+    return ranking.oracle_top_k(lexical.candidates(c.all_questions, c.sessions, c.hot), c.gold, c.params.k).select("qid", "sidx", "rk")
 
 
-def _metrics(c: Corpus, signal: Column) -> DataFrame:
-    s = c.signals.select("qid", "conv", "sidx", signal.alias("score"))
-    m = ranking.averaged(ranking.metrics(ranking.ranked(s), c.gold))
+def _metrics(c: Corpus, scores: DataFrame, signal: Column) -> DataFrame:
+    m = ranking.averaged(ranking.metrics(ranking.ranked(scores.select("qid", "conv", "sidx", signal.alias("score"))), c.gold))
     return m.select("n", *[_r(x) for x in m.columns[1:]])
 
 
 @_query
 def metrics_bm25(c: Corpus) -> DataFrame:
-    return _metrics(c, F.col("bm"))
+    return _metrics(c, c.bm25, F.col("bm"))
 
 
 @_query
 def metrics_dense(c: Corpus) -> DataFrame:
-    return _metrics(c, F.col("max"))
+    return _metrics(c, c.pooled("max"), F.col("max"))
 
 
 @_query
 def metrics_fusion(c: Corpus) -> DataFrame:
-    return _metrics(c, fusion.weighted(0.6))
+    return _metrics(c, c.signals, fusion.weighted(c.params.alpha))
 
 
 @_query
@@ -278,32 +303,43 @@ def _interval(df: DataFrame) -> DataFrame:
 
 @_query
 def cluster_bootstrap(c: Corpus) -> DataFrame:
-    return _interval(stats.paired_bootstrap(_paired(c), "conv", N_BOOT))
+    return _interval(stats.paired_bootstrap(_paired(c), "conv", c.params.n_boot))
 
 
 @_query
 def question_bootstrap(c: Corpus) -> DataFrame:
-    return _interval(stats.paired_bootstrap(_paired(c), "qid", N_BOOT))
+    return _interval(stats.paired_bootstrap(_paired(c), "qid", c.params.n_boot))
+
 
+_METHODS = ("bm25", "early", "late", "rrf", "weighted", "weighted_early")
 
-def _method_hits(c: Corpus) -> DataFrame:
-    """``qid, conv, method, hit`` of five methods in one long relation."""
-    s = c.signals.select("qid", "conv", "sidx", F.col("bm").alias("bm25"), F.col("early").alias("early"), F.col("max").alias("late"), (fusion.reciprocal("bm") + fusion.reciprocal("max")).alias("rrf"), fusion.weighted(0.6).alias("weighted"), fusion.weighted(0.6, dense="ze").alias("weighted_early"))
-    long = s.unpivot(["qid", "conv", "sidx"], ["bm25", "early", "late", "rrf", "weighted", "weighted_early"], "method", "score")
-    return ranking.hits(ranking.best(long, "score", "qid", "conv", "method"), c.gold).select("qid", "conv", "method", "hit")
+
+def _method_hits(c: Corpus, *methods: str) -> DataFrame:
+    """``qid, conv, method, hit`` of ``methods`` (all six without any) in one long relation."""
+    methods = methods or _METHODS
+    early = any("early" in m for m in methods) or "all_signals" in c.__dict__
+    signals = c.all_signals if early else c.signals
+    made = {"bm25": F.col("bm"), "late": F.col("max"), "rrf": fusion.reciprocal("bm") + fusion.reciprocal("max"), "weighted": fusion.weighted(c.params.alpha)}
+    if early:
+        made |= {"early": F.col("early"), "weighted_early": fusion.weighted(c.params.alpha, dense="ze")}
+    s = signals.select("qid", "conv", "sidx", *[made[m].alias(m) for m in methods])
+    # the best session of each method in one aggregate, before methods become rows
+    best = s.groupBy("qid", "conv").agg(F.array(*[F.struct(F.lit(m).alias("method"), F.max(F.struct(F.round(m, 9).alias("s"), (-F.col("sidx")).alias("b"))).alias("m")) for m in methods]).alias("t"))
+    long = best.select("qid", "conv", F.explode("t").alias("t")).select("qid", "conv", "t.method", (-F.col("t.m.b")).alias("sidx"))
+    return ranking.hits(long, c.gold).select("qid", "conv", "method", "hit")
 
 
 def _held_out_hits(c: Corpus) -> DataFrame:
     """``qid, conv, method, hit``: ``loco`` and ``loco_early`` fuse with the weight chosen on other conversations."""
-    swept = cut(selection.swept_hits(c.signals, c.gold, "qid", "conv", loco="zd", loco_early="ze"), "alpha")
+    swept = cut(selection.swept_hits(c.all_signals, c.gold, "qid", "conv", loco="zd", loco_early="ze"), "alpha")
     choice = selection.held_out_choice(swept, "conv", "alpha_id", "signal").select("signal", "conv", "alpha_id")
     return swept.join(choice, ["signal", "conv", "alpha_id"]).select("qid", "conv", F.col("signal").alias("method"), "hit")
 
 
 def _contrast(c: Corpus, a: str, b: str, hits: DataFrame | None = None) -> DataFrame:
-    h = (hits or _method_hits(c)).where(F.col("method").isin(a, b))
+    h = (hits or _method_hits(c, a, b)).where(F.col("method").isin(a, b))
     both = h.groupBy("qid", "conv").pivot("method", [a, b]).agg(F.max("hit"))
-    return _interval(stats.paired_bootstrap(both.select("qid", "conv", F.col(a).alias("a"), F.col(b).alias("b")), "conv", N_BOOT))
+    return _interval(stats.paired_bootstrap(both.select("qid", "conv", F.col(a).alias("a"), F.col(b).alias("b")), "conv", c.params.n_boot))
 
 
 @_query
@@ -328,7 +364,7 @@ def combiner_compare(c: Corpus) -> DataFrame:
 
 @_query
 def per_category(c: Corpus) -> DataFrame:
-    wide = _method_hits(c).groupBy("qid").pivot("method", ["bm25", "late", "weighted"]).agg(F.max("hit")).join(c.questions.select("qid", "category"), "qid")
+    wide = _method_hits(c, "bm25", "late", "weighted").groupBy("qid").pivot("method", ["bm25", "late", "weighted"]).agg(F.max("hit")).join(c.questions.select("qid", "category"), "qid")
     d = analysis.by_category(wide, bm25="bm25", late="late", weighted="weighted")
     return d.select("category", "name", "n", _r("bm25"), _r("late"), _r("weighted"), _r(100 * (F.col("weighted") - F.col("bm25"))).alias("delta_pp"))
 
@@ -340,7 +376,7 @@ def loco_fusion_late_vs_early(c: Corpus) -> DataFrame:
 
 @_query
 def loco_fusion_vs_late(c: Corpus) -> DataFrame:
-    return _contrast(c, "late", "loco", _method_hits(c).union(_held_out_hits(c)))
+    return _contrast(c, "late", "loco", _held_out_hits(c).union(_method_hits(c, "late")))
 
 
 @_query
@@ -358,15 +394,14 @@ def loco_per_category(c: Corpus) -> DataFrame:
 
 @_query
 def length_buckets(c: Corpus) -> DataFrame:
-    wide = _method_hits(c).groupBy("qid").pivot("method", ["early", "late"]).agg(F.max("hit")).join(analysis.gold_lengths(c.gold, c.turns, c.questions), "qid")
+    wide = _method_hits(c, "early", "late").groupBy("qid").pivot("method", ["early", "late"]).agg(F.max("hit")).join(analysis.gold_lengths(c.gold, c.turns, c.questions), "qid")
     return analysis.by_length(wide, "early", "late").select("bucket", "n", _r("early"), _r("late"), _r("gap_pp"))
 
 
 @_query
 def pooler_sweep(c: Corpus) -> DataFrame:
     """Every pooler alone and fused at .6, in one long relation."""
-    pools = dense.with_missing(c.candidates, dense.pooled(c.sims), *dense.POOLERS)
-    both = pools.join(c.signals.select("qid", "sidx", "zb"), ["qid", "sidx"])
+    both = c.pooled(*dense.POOLERS).join(fusion.standardised(c.bm25, zb="bm").select("qid", "sidx", "zb"), ["qid", "sidx"])
     long = both.unpivot(["qid", "conv", "sidx", "zb"], list(dense.POOLERS), "pooler", "dense")
     z = long.withColumn("zp", fusion.z_score("dense", "qid", "pooler")).withColumn("fused", fusion.weighted(0.6, dense="zp"))
     kinds = z.unpivot(["qid", "conv", "sidx", "pooler"], ["dense", "fused"], "kind", "score")
@@ -378,10 +413,9 @@ def pooler_sweep(c: Corpus) -> DataFrame:
 def loco_pooler_sweep(c: Corpus) -> DataFrame:
     """Every pooler and early pooling, alone and fused with the weight chosen on other conversations: all metrics and the median weight."""
     names = [*dense.POOLERS, "early"]
-    pools = dense.with_missing(c.candidates, dense.pooled(c.sims), *dense.POOLERS)
-    both = pools.join(c.signals.select("qid", "sidx", "zb", "early"), ["qid", "sidx"])
-    z = cut(fusion.standardised(both, **{f"z_{p}": p for p in names}), "pools")
-    for done in (c.sims, c.signals):
+    both = c.pooled(*names).join(c.bm25.select("qid", "sidx", "bm"), ["qid", "sidx"])
+    z = cut(fusion.standardised(both, zb="bm", **{f"z_{p}": p for p in names}), "pools")
+    for done in (c.tf, c.haystack):
         drop(done)
     hits = selection.swept_hits(z, c.gold, "qid", "conv", **{p: f"z_{p}" for p in names})
     choice, n = cut_counted(selection.held_out_choice(hits, "conv", "alpha_id", "signal").select("signal", "conv", "alpha_id"), "choice")
@@ -414,8 +448,9 @@ def design_matrix(c: Corpus) -> DataFrame:
 def adaptive_hit1(c: Corpus) -> DataFrame:
     """Learned weights over ten folds of whole conversations."""
     folds = 10
-    d = learned.design_matrix(c.signals.withColumnRenamed("max", "dense"), c.questions, c.gold).withColumn("fold", F.pmod(F.xxhash64("conv"), F.lit(folds)).cast("int"))
-    s = learned.adaptive_scores(d, learned.fold_weights(d, folds))
+    d = learned.design_matrix(c.signals.withColumnRenamed("max", "dense"), c.questions, c.gold).withColumn("fold", draw(F.col("conv").cast("string"), folds).cast("int"))
+    d = cut(d, "design")
+    s = learned.adaptive_scores(d, learned.fold_weights(d, folds, l2=c.params.l2))
     return ranking.hits(ranking.best(s, "score", "qid", "conv"), c.gold).groupBy("conv").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
 
 
@@ -433,11 +468,23 @@ def token_f1(c: Corpus) -> DataFrame:
 
 @_query
 def abstention(c: Corpus) -> DataFrame:
-    a = _answers(c)
-    adv = rerank.adversarial(F.col("category"), F.col("answer"))
-    f1 = tx.token_f1(tx.answer_tokens(F.col("predicted")), tx.answer_tokens(F.col("answer")))
-    right = F.when(adv, tx.abstains(F.col("predicted"))).otherwise(f1 >= 0.5).cast("double")
-    return a.select(adv.alias("adversarial"), right.alias("right")).groupBy("adversarial").agg(F.count("*").alias("n"), _r(F.avg("right")).alias("accuracy"))
+    return rerank.judged(_answers(c)).groupBy("adversarial").agg(F.count("*").alias("n"), _r(F.avg("right")).alias("accuracy"))
+
+
+@_query
+def read_harness(c: Corpus) -> DataFrame:
+    """Retrieve then read: the best sessions by BM25, by fusion and by the gold answer, read by the reader without a model, and what of it is right."""
+    asked = c.questions if not c.params.read_sample else src.seeded_sample(c.questions, "qid", c.params.read_sample, c.params.seed)
+    keep = lambda d: d.join(asked.select("qid"), "qid", "left_semi")
+    s = keep(c.signals)
+    tops = {"bm25": ranking.top_k(s, c.params.k, "bm"), "fusion": ranking.top_k(s.withColumn("score", fusion.weighted(c.params.alpha)), c.params.k), "oracle": ranking.oracle_top_k(s, c.gold, c.params.k)}
+    read = None
+    for method, top in tops.items():
+        contexts = rerank.contexts(top.select("qid", "conv", "sidx", "rk"), src.session_texts(c.haystack)).select(F.lit(method).alias("method"), "qid", "context")
+        read = contexts if read is None else read.unionByName(contexts)
+    answers = read.join(asked.select("qid", "question", "category", "answer"), "qid").withColumn("predicted", rerank.best_line(F.col("question"), F.col("context")))
+    j = rerank.judged(answers)
+    return j.groupBy("method", "adversarial").agg(F.count("*").alias("n"), _r(F.avg("right")).alias("accuracy"), _r(F.avg(tx.abstains(F.col("predicted")).cast("double"))).alias("abstained"))
 
 
 @_query
@@ -454,7 +501,7 @@ def rerank_topk(c: Corpus) -> DataFrame:
 
 @_query
 def context_pack(c: Corpus) -> DataFrame:
-    top = ranking.top_k(c.fused(), 3).select("qid", "conv", "sidx", "rk")
+    top = ranking.top_k(c.fused(), c.params.k).select("qid", "conv", "sidx", "rk")
     return rerank.contexts(top, src.session_texts(c.haystack)).select("qid", F.md5("context").alias("context_md5"), F.length("context").alias("n_chars"))
 
 
@@ -463,16 +510,44 @@ def loader_stats(c: Corpus) -> DataFrame:
     return src.smoke_stats(c.all_questions, c.gold)
 
 
+@_query
+def qa_examples(c: Corpus) -> DataFrame:
+    """Every question in the conversations' JSON, with its number of gold sessions."""
+    qa = src.qa_examples(c._table("locomo10"))
+    g = src.qa_gold(qa).groupBy("conv", "qa_no").agg(F.count("*").alias("n_gold"))
+    return qa.drop("evidence").join(g, ["conv", "qa_no"], "left").withColumn("n_gold", F.coalesce("n_gold", F.lit(0)))
+
+
+@_query
+def qa_gold(c: Corpus) -> DataFrame:
+    return src.qa_gold(src.qa_examples(c._table("locomo10")))
+
+
+@_query
+def length_buckets_locomo(c: Corpus) -> DataFrame:
+    wide = _method_hits(c, "early", "late").groupBy("qid").pivot("method", ["early", "late"]).agg(F.max("hit")).join(analysis.gold_lengths(c.gold, c.turns, c.questions), "qid")
+    return analysis.by_length(wide, "early", "late", analysis.LOCOMO_BUCKETS).select("bucket", "n", _r("early"), _r("late"), _r("gap_pp"))
+
+
+@_query
+def masked_hits(c: Corpus) -> DataFrame:
+    """Hit@1 of three methods over masks of questions."""
+    wide = _method_hits(c, "bm25", "late", "weighted").groupBy("qid").pivot("method", ["bm25", "late", "weighted"]).agg(F.max("hit")).join(c.questions.select("qid", "question", "category"), "qid")
+    f = tx.query_features(F.col("question"))
+    masks = {"adversarial": F.col("category") == 5, "temporal": f["temporal"] == 1, "short": f["short"] == 1, "none": F.lit(False)}
+    return analysis.masked_means(wide, masks, "bm25", "late", "weighted").select("mask", "n", _r("bm25"), _r("late"), _r("weighted"))
+
+
 @_query
 def seeded_sample(c: Corpus) -> DataFrame:
-    return src.seeded_sample(c.questions.select("qid", "conv"), "qid", 50).select("qid", "conv")
+    return src.seeded_sample(c.questions.select("qid", "conv"), "qid", c.params.sample, c.params.seed).select("qid", "conv")
 
 
 @_query
 def gap_by_size(c: Corpus) -> DataFrame:
     """Mean hit of late interaction in conversations with many sessions minus that in the others."""
     size = c.sessions.groupBy("conv").agg(F.count("*").alias("s"))
-    h = _method_hits(c).where("method = 'late'").join(size, "conv")
+    h = salted_join(_method_hits(c, "late"), size, ["conv"], F.col("qid"), c.hot)
     return stats.group_gap(h, F.col("s") > 12, F.col("hit")).select(_r("large_minus_small"))
 
 
@@ -501,3 +576,51 @@ def lme_metrics(c: Challenges) -> DataFrame:
     m = ranking.metrics(ranking.ranked(c.bm25, "bm"), c.gold)
     per = m.join(c.questions.select("qid", "question_type"), "qid").groupBy("question_type")
     return per.agg(F.count("*").alias("n"), *[_r(F.avg(x)).alias(x) for x in ("recall1", "recall3", "recall5", "mrr", "ndcg5")], _r(F.avg((F.col("recall1") > 0).cast("double"))).alias("r1_indicator"))
+
+
+@_lme
+def lme_late_metrics(c: Challenges) -> DataFrame:
+    """All metrics of BM25, early and late interaction, their top-3 mean and reciprocal ranks."""
+    s = c.signals
+    rrf = fusion.reciprocal("bm") + fusion.reciprocal("max")
+    return _lme_table(c, s.select("qid", "sidx", F.col("bm").alias("bm25"), "early", F.col("max").alias("late"), "top3", rrf.alias("rrf")), "bm25", "early", "late", "top3", "rrf")
+
+
+def _lme_table(c: Challenges, scores: DataFrame, *methods: str) -> DataFrame:
+    ranks = scores.select("qid", "sidx", *[fusion.rank_by(m).alias(m) for m in methods])
+    m = ranking.metrics(ranks.unpivot(["qid", "sidx"], list(methods), "method", "rk"), c.gold, "qid", "method")
+    return m.groupBy("method").agg(F.count("*").alias("n"), *[_r(F.avg(x)).alias(x) for x in ("recall1", "recall3", "recall5", "mrr", "ndcg5")], _r(F.avg((F.col("recall1") > 0).cast("double"))).alias("r1_indicator"))
+
+
+@_lme
+def lme_kfold_alpha(c: Challenges) -> DataFrame:
+    return c.choice.select(F.col("signal").alias("method"), "fold", "alpha_id", "train_hits", "hits", "n")
+
+
+@_lme
+def lme_fused_metrics(c: Challenges) -> DataFrame:
+    """All metrics of fusion with the weight chosen on the other folds, with early and with late interaction."""
+    weights = c.choice.groupBy("fold").pivot("signal", ["fused_early", "fused_late"]).agg(F.max(F.col("alpha_id") / 20)).withColumnsRenamed({"fused_early": "ae", "fused_late": "al"})
+    s = selection.with_folds(c.signals).join(F.broadcast(weights), "fold")  # one row per fold
+    return _lme_table(c, s.select("qid", "sidx", fusion.weighted(F.col("ae"), dense="ze").alias("fused_early"), fusion.weighted(F.col("al")).alias("fused_late")), "fused_early", "fused_late")
+
+
+@_lme
+def lme_question_bootstrap(c: Challenges) -> DataFrame:
+    """Fusion with late interaction against BM25 alone, questions resampled."""
+    h = c.fold_hits.where("signal = 'fused_late'")
+    chosen = h.join(c.choice.where("signal = 'fused_late'").select("fold", "alpha_id"), ["fold", "alpha_id"]).select("qid", F.col("hit").alias("b"))
+    pairs = h.where("alpha_id = 20").select("qid", F.col("hit").alias("a")).join(chosen, "qid")
+    return _interval(stats.paired_bootstrap(pairs, "qid", c.params.n_boot))
+
+
+@_lme
+def lme_gap_by_size(c: Challenges) -> DataFrame:
+    """Hit@1 of early and late interaction by the turns of the largest gold session; empty buckets are left out."""
+    per = c.signals.groupBy("qid").agg(*[F.max(F.struct(F.round(s, 9).alias("s"), (-F.col("sidx")).alias("b"))).alias(n) for n, s in (("early", "early"), ("late", "max"))])
+    hits = None
+    for n in ("early", "late"):
+        h = ranking.hits(per.select("qid", (-F.col(f"{n}.b")).alias("sidx")), c.gold).select("qid", F.col("hit").alias(n))
+        hits = h if hits is None else hits.join(h, "qid")
+    lengths = analysis.gold_lengths(c.gold, c.turns, c.questions)
+    return analysis.by_length(hits.join(lengths, "qid"), "early", "late").where("n > 0").select("bucket", "n", _r("early"), _r("late"), _r("gap_pp"))

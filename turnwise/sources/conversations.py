@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.operators import nested
+from turnwise.operators.stats import numbered
 from turnwise.scratch import cut
 
 #: "D<n>" with an optional turn, any case, outer blanks, leading zeros.
@@ -19,9 +20,34 @@ GOLD = r"^\s*[dD]0*([0-9]{1,18})(?::[0-9]+)?\s*$"
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """``conv_idx, sample_id, conversation, qa`` from a JSON list of records; both nested parts stay JSON text."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("conv_idx", "v"))
-    return rows.select(F.col("conv_idx").cast("long").alias("conv_idx"), F.try_variant_get("v", "$.sample_id", "string").alias("sample_id"), *[F.to_json(F.try_variant_get("v", f"$.{c}", "variant")).alias(c) for c in ("conversation", "qa")])
+    """``conv_idx, sample_id, conversation, qa`` from JSON lists of records (or a record per file); both nested parts stay JSON text.
+
+    Records are streamed one by one, so a file may be of any size, and many files
+    are read by many tasks; ``conv_idx`` is the position of a record, files in the
+    order of their paths. A file that is no JSON is an error.
+    """
+    rows = spark.read.schema("sample_id string, conversation string, qa string").json(path, multiLine=True, mode="FAILFAST")
+    placed = numbered(rows.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).alias("place")), "place", "conv_idx")
+    return placed.select("conv_idx", "sample_id", "conversation", "qa")
+
+
+def qa_examples(rows: DataFrame) -> DataFrame:
+    """``conv, qa_no, question, answer, category, evidence``: each question in the ``qa`` list of a conversation's latest row, numbered from 1.
+
+    Answers that are numbers are text; a missing or malformed list has no
+    questions, entries that are no objects keep their number; ``evidence`` is a list
+    of text, empty where there is none.
+    """
+    held = latest(rows.select("conv_idx", "received_at", "qa"), "conv_idx", "received_at")
+    each = held.select(F.col("conv_idx").alias("conv"), F.posexplode(nested._as_array(F.try_parse_json("qa"))).alias("i", "v")).where(nested._as_map(F.col("v")).isNotNull())
+    text = lambda c: F.try_variant_get("v", f"$.{c}", "string").alias(c)
+    evidence = F.coalesce(F.transform(F.try_variant_get("v", "$.evidence", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string")), F.array().cast("array<string>"))
+    return each.select("conv", (F.col("i") + 1).cast("long").alias("qa_no"), text("question"), text("answer"), F.try_variant_get("v", "$.category", "int").alias("category"), evidence.alias("evidence"))
+
+
+def qa_gold(qa: DataFrame) -> DataFrame:
+    """``conv, qa_no, sidx``: the distinct sessions that the evidence names."""
+    return qa.select("conv", "qa_no", F.explode("evidence").alias("g")).select("conv", "qa_no", gold_session(F.col("g")).alias("sidx")).where("sidx is not null").distinct()
 
 
 def latest(rows: DataFrame, key: str, time: str) -> DataFrame:
