@@ -28,7 +28,7 @@ def duck():
     return c
 
 
-SOME = ["tok_counts", "bm25_scores", "bm25_loco_choice", "dense_poolers", "dense_early_mean", "token_maxsim", "metrics_per_query", "loco_hit1", "cluster_bootstrap", "per_category", "length_buckets", "design_matrix", "abstention", "rerank_topk", "lme_metrics", "p2_found", "p2_attachments"]
+SOME = ["tok_counts", "bm25_scores", "bm25_loco_choice", "dense_poolers", "dense_early_mean", "token_maxsim", "metrics_per_query", "loco_hit1", "cluster_bootstrap", "per_category", "length_buckets", "design_matrix", "abstention", "rerank_topk", "lme_metrics", "lme_late_metrics", "lme_fused_metrics", "lme_gap_by_size", "lme_question_bootstrap", "encoder_pooler_sweep", "read_harness", "qa_examples", "masked_hits", "length_buckets_locomo", "bm25_grid_hit1", "p2_found", "p2_attachments", "p2_objects"]
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -57,3 +57,18 @@ def test_alpha_ends_are_single_signals(spark):
         b = ranking.ranked(c.signals.withColumn("score", F.col(signal))).select("qid", "sidx", "rk")
         assert a.exceptAll(b).count() == 0
     assert fusion.alphas(c.signals.limit(1)).count() == 21
+
+
+def test_parameters_reach_the_queries(spark, tmp_path):
+    from turnwise import __main__ as cli
+
+    assert RUN["seeded_sample"](spark, str(DATA), sample=7).count() == 7
+    cli.main(["topk_sessions", "--data", str(DATA), "--k", "1", "--out", str(tmp_path / "o")])
+    assert {r.rk for r in spark.read.parquet(str(tmp_path / "o")).select("rk").collect()} == {1}
+
+
+def test_stage_times(spark):
+    from turnwise.plans.stages import stage_times
+
+    got = {r.stage: r for r in stage_times(spark, str(DATA), runs=2, warm_up=0).collect()}
+    assert set(got) == {"terms", "bm25", "late", "fusion", "rerank"} and all(r.runs == 2 and 0 < r.median <= r.p95 for r in got.values())

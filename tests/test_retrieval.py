@@ -147,6 +147,70 @@ def test_salted_join_equals_join(spark):
     assert got == sorted(tuple(r) for r in many.join(few, "k").select("k", "v", "w").collect())
 
 
+def test_long_lists_of_hot_keys_are_joined_by_key(spark):
+    many = spark.createDataFrame([(k, i) for k in range(6) for i in range(20 + 100 * (k == 0))] + [(9, 0), (None, 1)], "k long, v long")
+    few = spark.createDataFrame([(k, f"w{k}") for k in range(10)], "k long, w string")
+    hot = hot_keys(many.groupBy("k").agg(F.count("*").alias("n")), ["k"], "n", 10, few=2)
+    assert [r.k for r in hot.collect()] == [0] and sorted(r.k for r in hot._more.collect()) == [1, 2, 3, 4, 5]
+    for how in ("inner", "left"):
+        got = sorted((str(tuple(r)) for r in salted_join(many, few, ["k"], F.col("v"), hot, how).select("k", "v", "w").collect()))
+        assert got == sorted(str(tuple(r)) for r in many.join(few, "k", how).select("k", "v", "w").collect())
+
+
+def test_hot_conversations_change_no_score(haystack):
+    questions, turns, sessions = haystack
+    hot = hot_keys(questions.groupBy("conv").agg(F.count("*").alias("n")), ["conv"], "n", 1)
+    a, b = (sorted(map(tuple, lexical.scores(questions, turns, sessions, hot=h).collect())) for h in (None, hot))
+    assert a == b
+
+
+def test_grid_best_equals_a_ranking_per_configuration(haystack):
+    configs = lexical.grid()
+    matched = lexical.matches(*haystack)
+    got = {r.qid: r.best for r in lexical.grid_best(matched, configs).collect()}
+    assert set(got) == {9} and len(got[9]) == len(configs) == 200
+    for i in (0, 74, 133, 199):
+        _, variant, k1, b = configs[i]
+        part = (lexical.classic if variant == "classic" else lexical.bm25l)(k1, b)
+        assert got[9][i] == ranking.best(lexical.scores(*haystack, part).where("qid = 9"), "bm", "qid").first().sidx
+    assert lexical.grid_best(matched.where("false"), configs).count() == 0
+
+
+def test_encoders_stay_apart_and_their_mean_is_the_ensemble(spark):
+    tv = spark.createDataFrame([(1, s, 0, e, v) for s, e, v in [(0, "x", [1.0, 0.0]), (1, "x", [0.0, 1.0]), (0, "y", [0.0, 1.0]), (1, "y", [1.0, 0.0])]], "conv long, sidx long, tidx long, encoder string, v array<double>")
+    qv = spark.createDataFrame([(5, e, [1.0, 0.0]) for e in "xy"], "qid long, encoder string, v array<double>")
+    sims = dense.similarities(spark.createDataFrame([(5, 1)], "qid long, conv long"), qv, tv, None, "encoder")
+    scored = dense.pooled(sims, {"max": dense.POOLERS["max"]}, "encoder")
+    assert {(r.encoder, r.sidx): r.max for r in scored.collect()} == {("x", 0): 1, ("x", 1): 0, ("y", 0): 0, ("y", 1): 1}
+    assert [r.ensemble for r in dense.ensemble(scored, "max").collect()] == pytest.approx([0, 0])
+
+
+def test_token_vectors_of_an_encoder(spark):
+    df = spark.createDataFrame([(1, "a bb"), (2, None)], "k long, text string")
+    out = dense.encoded(df, ["k"], lambda ts: [[[float(len(w))] for w in t.split()] for t in ts], by_token=True)
+    assert {r.k: r.v for r in out.collect()} == {1: [[1.0], [2.0]], 2: []}
+
+
+def test_masked_means(spark):
+    per = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1)], "category int, a int, b int")
+    got = {r["mask"]: (r.n, r.a, r.b) for r in analysis.masked_means(per, {"one": F.col("category") == 1, "any": F.lit(True), "no": F.lit(False)}, "a", "b").collect()}
+    assert got == {"one": (1, 1, 0), "any": (3, pytest.approx(2 / 3), pytest.approx(2 / 3)), "no": (0, None, None)}
+
+
+def test_reader_without_a_model_declines(spark):
+    df = spark.createDataFrame([("Where is the red kite?", "[Session D1]\nA: the kite\nB: a red kite here\nC: red kite too"), ("Where is it?", "no word"), (None, "")], "q string, c string")
+    assert [r[0] for r in df.select(rerank.best_line(F.col("q"), F.col("c"))).collect()] == ["B: a red kite here", "not mentioned", "not mentioned"]
+
+
+def test_statistics_of_the_learned_fusion_cover_all_other_rows(spark):
+    rows = [(f, 10 * f + i, i, float(i == 0), [1.0, float(f + i), float(i * i)]) for f in range(3) for i in range(4 + f)]
+    design = spark.createDataFrame(rows, "fold int, qid long, sidx long, y double, x array<double>")
+    for r in learned.fold_statistics(design, 3).collect():
+        x = [v[4] for v in rows if v[0] != r.target]
+        assert r.mean == pytest.approx([sum(v[i] for v in x) / len(x) for i in (1, 2)])
+        assert r.positive == pytest.approx((len(x) - 2) / 2)
+
+
 def test_numbered_follows_the_key(spark):
     df = spark.createDataFrame([(f"k{i:04d}", i) for i in reversed(range(500))], "k string, v long").repartition(7)
     assert sorted((r.u, r.v) for r in stats.numbered(df, "k").collect()) == [(i, i) for i in range(500)]

@@ -4,6 +4,7 @@ import json
 from collections import Counter
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnwise.operators import nested
@@ -87,6 +88,24 @@ def test_json_file(spark, tmp_path):
     assert [(r.conv_idx, r.sample_id) for r in got] == [(0, "s"), (1, None)] and json.loads(got[0].qa) == [{"question": "q"}]
 
 
+def test_read_json_of_several_files_and_of_none(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"sample_id": str(i), "conversation": {"session_1": []}} for i in range(3)]))
+    (tmp_path / "b.json").write_text(json.dumps([{"sample_id": "3", "qa": []}]))
+    got = src.read_json(spark, str(tmp_path)).orderBy("conv_idx").collect()
+    assert [(r.conv_idx, r.sample_id) for r in got] == [(i, str(i)) for i in range(4)]
+    (tmp_path / "c.json").write_text('[{"sample_id": "4"')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        src.read_json(spark, str(tmp_path)).collect()
+
+
+def test_questions_in_the_json(spark):
+    qa = [{"question": "q", "category": 2, "answer": 7, "evidence": ["D2:1", "d02", None, "x"]}, 5, {"question": None}]
+    df = spark.createDataFrame([(1, "[]", T0, "s"), (1, json.dumps(qa), T1, "s"), (2, None, T0, "s"), (3, "{bad", T0, "s"), (4, '{"question": 1}', T0, "s")], "conv_idx long, qa string, received_at timestamp, sidx string")
+    got = src.qa_examples(df)
+    assert sorted((r.conv, r.qa_no, r.question, r.answer, r.category) for r in got.collect()) == [(1, 1, "q", "7", 2), (1, 3, None, None, None)]
+    assert [tuple(r) for r in src.qa_gold(got).collect()] == [(1, 1, 2)]
+
+
 def test_seeded_sample_is_exact_and_stable(spark):
     df = spark.range(100).withColumnRenamed("id", "qid")
     a, b = (sorted(r.qid for r in src.seeded_sample(df, "qid", 10, s).collect()) for s in (0, 0))

@@ -112,10 +112,16 @@ def _holds_objects(v: Column) -> Column:
     return F.coalesce(_as_map(v).isNotNull() | F.exists(_as_array(v), lambda x: _as_map(x).isNotNull()), F.lit(False))
 
 
-def _own(v: Column, *children: str) -> Column:
+def _sorted_out(v: Column, make) -> Column:
+    """``make(fields)`` with each field of an object as ``key, value, deep``, looked at once; ``deep`` where it holds objects."""
+    entries = F.coalesce(F.map_entries(_as_map(v)), F.expr("cast(array() as array<struct<key: string, value: variant>>)"))
+    return _let(F.transform(entries, lambda e: F.struct(e.key.alias("key"), e.value.alias("value"), _holds_objects(e.value).alias("deep"))), make)
+
+
+def _own(v: Column, fields: Column, *children: str) -> Column:
     """The fields of an object that are no children, as JSON with sorted keys; another value as it is."""
-    kept = F.map_filter(_as_map(v), lambda k, x: ~k.isin(*children) & ~_holds_objects(x) if children else ~_holds_objects(x))
-    return F.coalesce(F.to_json(kept), F.to_json(v))
+    kept = F.filter(fields, lambda e: ~e.deep & ~e.key.isin(*children) if children else ~e.deep)
+    return F.when(_as_map(v).isNull(), F.to_json(v)).otherwise(F.to_json(F.map_from_entries(F.transform(kept, lambda e: F.struct(e.key, e.value)))))
 
 
 def _identity(kind: Column, body: Column, children: Column | None = None) -> Column:
@@ -130,30 +136,26 @@ def _numbered(entries: Column, make) -> Column:
     return F.transform(kept, lambda x: make(x.ordinal, x.v))
 
 
-def _below(entries: Column, make, *skip: str) -> Column:
-    """The objects among the values of ``entries(key, value)``, each of the kind of its field."""
-    found = F.filter(entries, lambda e: ~e.key.isin(*skip) & _holds_objects(e.value) if skip else _holds_objects(e.value))
+def _below(fields: Column, make, *skip: str) -> Column:
+    """The objects among the values of ``fields(key, value, deep)``, each of the kind of its field."""
+    found = F.filter(fields, lambda e: e.deep & ~e.key.isin(*skip) if skip else e.deep)
     listed = lambda v: F.coalesce(_as_array(v), F.array(v))
     return F.flatten(F.transform(found, lambda e: _numbered(listed(e.value), lambda o, x: make(e.key, o, x))))
 
 
-def _entries(v: Column) -> Column:
-    return F.coalesce(F.map_entries(_as_map(v)), F.expr("cast(array() as array<struct<key: string, value: variant>>)"))
-
-
 def _leaf(kind: Column, ordinal: Column, v: Column) -> Column:
     body = F.to_json(v)
     return F.struct(kind.alias("kind"), ordinal.alias("ordinal"), body.alias("body"), _identity(kind, body).alias("id"))
 
 
 def _part(kind: Column, ordinal: Column, v: Column) -> Column:
-    made = F.struct(kind.alias("kind"), ordinal.alias("ordinal"), _own(v).alias("body"), _below(_entries(v), _leaf).alias("children"))
+    made = _sorted_out(v, lambda fields: F.struct(kind.alias("kind"), ordinal.alias("ordinal"), _own(v, fields).alias("body"), _below(fields, _leaf).alias("children")))
     return _let(made, lambda m: F.struct(m.kind.alias("kind"), m.ordinal.alias("ordinal"), m.body.alias("body"), m.children.alias("children"), _identity(m.kind, m.body, m.children).alias("id")))
 
 
 def _turn(ordinal: Column, v: Column) -> Column:
     attachments = _numbered(_as_list(F.try_variant_get(v, "$.attachments", "variant")), lambda o, x: _part(F.lit("attachment"), o, x))
-    made = F.struct(_own(v, "attachments").alias("body"), _speaker(v).alias("speaker"), F.concat(attachments, _below(_entries(v), _part, "attachments")).alias("children"))
+    made = _sorted_out(v, lambda fields: F.struct(_own(v, fields, "attachments").alias("body"), _speaker(v).alias("speaker"), F.concat(attachments, _below(fields, _part, "attachments")).alias("children")))
     return _let(made, lambda m: F.struct(
         F.lit("turn").alias("kind"), ordinal.alias("ordinal"), m.body.alias("body"), m.speaker.alias("speaker"), m.children.alias("children"), _identity(F.lit("turn"), m.body, m.children).alias("id")))
 
@@ -178,8 +180,8 @@ def _hashed_sessions(rows: DataFrame, key: str, text: str, time: str, variant_ch
     # explode: parsed once
     fields = latest.select("key", F.explode(F.array(fields_of(F.col("r.s"), variant_chars))).alias("e")).where("e is not null")
     is_session = lambda e: e.key.rlike(SESSION_KEY)
-    others = F.filter("e", lambda e: ~is_session(e))
-    plain = F.filter(others, lambda e: ~_holds_objects(e.value))
+    others = F.transform(F.filter("e", lambda e: ~is_session(e)), lambda e: F.struct(e.key.alias("key"), e.value.alias("value"), _holds_objects(e.value).alias("deep")))
+    plain = F.transform(F.filter(others, lambda e: ~e.deep), lambda e: F.struct(e.key, e.value))
     sessions = F.transform(F.filter("e", is_session), lambda e: F.struct(F.regexp_extract(e.key, "0*([0-9]+)$", 1).cast("bigint").alias("no"), e.key.alias("name"), _as_object(e.value).alias("value")))
     holder = F.col("s.value")
     has_turns = F.coalesce(F.map_contains_key(_as_map(holder), "turns"), F.lit(False))
