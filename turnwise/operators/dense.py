@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.text import tokens
-from turnwise.functions.vectors import dot, norm, unit
+from turnwise.functions.vectors import dot, unit
 from turnwise.operators.skew import salted_join
 
 #: The score of a session without vectors.
@@ -36,7 +36,7 @@ def _lse(beta: float) -> Callable[[Column], Column]:
     return lambda s: (beta + F.log(F.sum(F.exp(beta * (s - 1))))) / beta
 
 
-#: Poolers: aggregates of a session's turn similarities; add your own. Only ``top3`` needs them as a list.
+#: Poolers: aggregates of a session's turn similarities; add your own. Only ``top3`` needs them as a list (of one session for one question).
 POOLERS: dict[str, Callable[[Column], Column]] = {"max": F.max, "top3": _top(3), "lse10": _lse(10.0), "mean_sim": F.avg}
 
 
@@ -45,11 +45,15 @@ def pooled(sims: DataFrame, poolers: dict[str, Callable[[Column], Column]] | Non
     return sims.groupBy("qid", "conv", "sidx", *keep).agg(*[f(F.col("sim")).alias(n) for n, f in (poolers or POOLERS).items()])
 
 
-def vector_lengths(turn_vectors: DataFrame) -> DataFrame:
-    """``conv, sidx, len, t``: the length of the sum of a session's turn vectors, and how many they are."""
-    sums = turn_vectors.groupBy("conv", "sidx").agg(F.collect_list("v").alias("vs"))
-    total = F.aggregate(F.slice("vs", 2, 10**9), F.get("vs", 0), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-    return sums.select("conv", "sidx", norm(total).alias("len"), F.size("vs").alias("t"))
+def vector_lengths(turn_vectors: DataFrame, dim: int = 64) -> DataFrame:
+    """``conv, sidx, len, t``: the length of the sum of a session's turn vectors of up to ``dim`` numbers, and how many they are.
+
+    One sum per coordinate, so a session of any size sends one row per task.
+    """
+    checked = F.when(F.size("v") > dim, F.raise_error(F.lit(f"a vector has more than {dim} numbers")).cast("array<double>")).otherwise(F.col("v"))
+    sums = turn_vectors.select("conv", "sidx", checked.alias("v")).groupBy("conv", "sidx").agg(F.count("*").alias("t"), *[F.sum(F.get("v", i)).alias(f"x{i}") for i in range(dim)])
+    square = sum((F.coalesce(F.col(f"x{i}"), F.lit(0.0)) ** 2 for i in range(dim)), F.lit(0.0))
+    return sums.select("conv", "sidx", F.sqrt(square).alias("len"), "t")
 
 
 def early_of(summed: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -61,9 +65,9 @@ def early_of(summed: DataFrame, lengths: DataFrame) -> DataFrame:
     return summed.join(lengths, ["conv", "sidx"]).withColumn("early", F.when(F.col("len") / F.col("t") <= 1e-9, MISSING).otherwise(F.col("total") / F.col("len"))).drop("len", "t")
 
 
-def early(sims: DataFrame, turn_vectors: DataFrame) -> DataFrame:
+def early(sims: DataFrame, turn_vectors: DataFrame, dim: int = 64) -> DataFrame:
     """``qid, conv, sidx, early`` from similarities of turns."""
-    return early_of(pooled(sims, {"total": F.sum}), vector_lengths(turn_vectors)).select("qid", "conv", "sidx", "early")
+    return early_of(pooled(sims, {"total": F.sum}), vector_lengths(turn_vectors, dim)).select("qid", "conv", "sidx", "early")
 
 
 def ensemble(scores: DataFrame, signal: str) -> DataFrame:

@@ -53,9 +53,14 @@ def fold_statistics(design: DataFrame, columns: int = 19) -> DataFrame:
 
 def fold_weights(design: DataFrame, folds: int, max_rows: int = 20_000, l2: float = 1.0, rate: float = 0.5, steps: int = 300) -> DataFrame:
     """``fold, mean, sd, theta`` for each fold, fitted on the rows of all others. ``design`` has a ``fold``."""
-    order = Window.partitionBy("fold").orderBy(F.xxhash64("qid", "sidx"), "qid", "sidx")
+    k = max_rows // max(folds - 1, 1)
+    order = Window.partitionBy("fold").orderBy("at", "qid", "sidx")
+    sizes = F.broadcast(design.groupBy("fold").agg(F.count("*").alias("n")))  # one row per fold
+    # of a large fold only the part with small hashes, four times what is needed, goes through the window
+    at = F.xxhash64("qid", "sidx").cast("double") / 2.0**64 + 0.5
+    near = design.join(sizes, "fold").withColumn("at", at).where(F.col("at") * F.col("n") <= max(4 * k, 1000)).drop("n")
     # one fold's rows are sampled once and go to each of the other folds
-    kept = design.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_rows // max(folds - 1, 1))
+    kept = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("at")
     spread = kept.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("target <> fold").join(F.broadcast(fold_statistics(design)), "target")
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.operators import dense, fusion, lexical, selection
-from turnwise.operators.skew import hot_keys
+from turnwise.operators.skew import hot_keys, salted_join
 from turnwise.scratch import cut
 from turnwise.sources import conversations as src
 from turnwise.sources.tables import table
@@ -161,9 +161,11 @@ class Challenges:
     @cached_property
     def turn_vectors(self) -> DataFrame:
         """Each session is listed by many questions; its turns are encoded once for each text."""
-        texts = cut(self.turns, "texts")
-        coded = dense.hashed_vectors(texts.select("text").distinct(), ["text"])
-        return cut(texts.join(coded, "text").select("conv", "sidx", "tidx", "v"), "vectors")
+        texts = cut(self.turns.withColumn("same", F.unhex(F.md5("text"))), "texts")
+        distinct = cut(texts.groupBy("same").agg(F.min("text").alias("text"), F.count("*").alias("n")), "distinct")
+        hot = hot_keys(distinct, ["same"], "n", 200_000)
+        coded = dense.hashed_vectors(distinct, ["same"])
+        return cut(salted_join(texts.drop("text"), coded, ["same"], F.struct("conv", "sidx", "tidx"), hot).select("conv", "sidx", "tidx", "v"), "vectors")
 
     @cached_property
     def signals(self) -> DataFrame:

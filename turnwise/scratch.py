@@ -73,7 +73,8 @@ def drop(df: DataFrame | None) -> None:
 
 
 @atexit.register
-def _drop_all() -> None:
+def clear() -> None:
+    """Delete all intermediate tables. It runs when Python ends; a long-lived session calls it when no result is to be read any more."""
     for path, spark in list(_made.items()):
         _delete(spark, path)
     _made.clear()
