@@ -54,9 +54,10 @@ def matches(questions: DataFrame, turns: DataFrame, sessions: DataFrame, tf: Dat
     stats = corpus_stats(dl)
     q = questions.select("qid", "conv", F.explode(query_terms(F.col("question"))).alias("tok"))
     rel = dl.join(stats, "conv").select("conv", "sidx", (F.col("dl") / F.greatest("avgdl", F.lit(1e-9))).alias("rel"))
-    # what a term and a session say is one row of a conversation, however many questions it has
-    postings = tf.join(idf(tf, stats), ["conv", "tok"]).join(rel, ["conv", "sidx"]).select("conv", "tok", "sidx", "f", "rel", "idf")
-    return salted_join(q, postings, ["conv", "tok"], F.col("qid"), hot).select("qid", "conv", "sidx", "f", "rel", "idf")
+    # all three lie by conversation and term already, so only the matches move on to their session
+    postings = tf.join(idf(tf, stats), ["conv", "tok"]).select("conv", "tok", "sidx", "f", "idf")
+    found = salted_join(q, postings, ["conv", "tok"], F.col("qid"), hot)
+    return salted_join(found, rel, ["conv", "sidx"], F.col("qid"), hot).select("qid", "conv", "sidx", "f", "rel", "idf")
 
 
 def classic(k1: Column | float = 1.5, b: Column | float = 0.75) -> Column:

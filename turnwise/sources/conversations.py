@@ -66,9 +66,9 @@ def _sessions(conversations: DataFrame, variant_chars: int) -> DataFrame:
 
 
 def haystack(conversations: DataFrame, variant_chars: int = nested.VARIANT_CHARS) -> DataFrame:
-    """``conv, sidx, turns``: every session of the latest valid conversations with its turns (``tidx, speaker, said, text``), written once.
+    """``conv, sidx, turns``: every session of the latest valid conversations with its turns (``tidx, speaker, text``), written once.
 
-    ``text`` is ``speaker: said``; ``tidx`` counts from 0 and null entries keep
+    ``text`` is ``speaker: what was said``; ``tidx`` counts from 0 and null entries keep
     their place; a session may be empty. Texts beyond ``variant_chars`` are read
     field by field.
     """
@@ -79,12 +79,12 @@ def haystack(conversations: DataFrame, variant_chars: int = nested.VARIANT_CHARS
 def _told(sessions: DataFrame) -> DataFrame:
     said = lambda v: F.coalesce(F.try_variant_get(v, "$.text", "string"), F.lit(""))
     made = F.transform("items", lambda v, i: F.struct(i.cast("long").alias("tidx"), nested._speaker(v).alias("speaker"), said(v).alias("said"), (v.isNotNull() & ~F.is_variant_null(v)).alias("is")))
-    kept = F.transform(F.filter(made, lambda t: t["is"]), lambda t: F.struct(t.tidx.alias("tidx"), t.speaker.alias("speaker"), t.said.alias("said"), F.concat(t.speaker, F.lit(": "), t.said).alias("text")))
+    kept = F.transform(F.filter(made, lambda t: t["is"]), lambda t: F.struct(t.tidx.alias("tidx"), t.speaker.alias("speaker"), F.concat(t.speaker, F.lit(": "), t.said).alias("text")))
     return sessions.select("conv", "sidx", kept.alias("turns"))
 
 
 def turns(haystack: DataFrame) -> DataFrame:
-    """``conv, sidx, tidx, speaker, said, text``."""
+    """``conv, sidx, tidx, speaker, text``."""
     return haystack.select("conv", "sidx", F.explode("turns").alias("t")).select("conv", "sidx", "t.*")
 
 
