@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_queries import DATA, RUN, SQL, duck, value  # noqa: F401
+from turnwise import scratch
 from turnwise.operators import fusion, ranking, selection
+from turnwise.plans import corpus, queries
 
 here = pytest.mark.skipif(not Path(DATA).exists(), reason="the test tables are not here")
 
@@ -53,3 +55,28 @@ def test_held_out_fusion_equals_sql(spark, duck, name):  # noqa: F811
     rows = equals_sql(spark, duck, name)
     if name == "loco_combiner_compare":
         assert {"loco", "loco_early", "weighted", "weighted_early"} < {r["method"] for r in rows}
+
+
+#: Lines of a plan; a driver of 1.5 GB holds such plans, their copies by AQE and the code made of them.
+LARGE = 120
+
+
+@pytest.fixture
+def largest_plan(spark, monkeypatch):
+    """The most nodes of a plan that is written, as the driver holds it before it runs."""
+    seen = [0]
+    written = scratch.cut
+
+    def counted(df, name="t"):
+        seen[0] = max(seen[0], len(df._jdf.queryExecution().executedPlan().toString().split("\n")))
+        return written(df, name)
+
+    for module in (scratch, corpus, queries):
+        monkeypatch.setattr(module, "cut", counted)
+    return seen
+
+
+@here
+def test_no_plan_of_early_and_late_is_large(spark, largest_plan):
+    RUN["loco_fusion_late_vs_early"](spark, str(DATA))
+    assert 0 < largest_plan[0] < LARGE

@@ -83,6 +83,11 @@ def scores(questions: DataFrame, turns: DataFrame, sessions: DataFrame, part: Co
     return candidates(questions, sessions, hot).join(summed, ["qid", "sidx"], "left").select("qid", "conv", "sidx", F.coalesce("bm", F.lit(0.0)).alias("bm"))
 
 
+def matched_scores(questions: DataFrame, turns: DataFrame, sessions: DataFrame, part: Column | None = None, tf: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """``qid, conv, sidx, bm`` of the sessions with a match alone; matches lie by conversation and session already, so none is moved to be summed."""
+    return matches(questions, turns, sessions, tf, hot).groupBy("qid", "conv", "sidx").agg(F.sum(classic() if part is None else part).alias("bm"))
+
+
 #: The grid of k1 and b.
 GRID_K1 = [0.5, 0.8, 1.0, 1.2, 1.5, 1.8, 2.0, 2.5, 3.0, 4.0]
 GRID_B = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9, 1.0]

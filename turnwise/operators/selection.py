@@ -16,13 +16,17 @@ from turnwise.functions.draws import draw
 from turnwise.operators import fusion
 
 
-def swept_hits(signals: DataFrame, gold: DataFrame, *keys: str, lexical: str = "zb", steps: int = 20, **dense: str) -> DataFrame:
-    """``keys, signal, alpha_id, hit`` for each ``signal=column`` and the weights ``alpha_id / steps``.
+def sweeps(signals: DataFrame, gold: DataFrame | None, *keys: str, lexical: str = "zb", steps: int = 20, **dense: str) -> DataFrame:
+    """``keys, signal, h`` for each ``signal=column``: the hits under the weights ``alpha_id / steps``, in their order.
 
     The candidates of a key stand in one array, so neither signals nor weights
-    multiply rows that are sorted or shuffled. Ties as in ``ranking.best``.
+    multiply rows that are sorted or shuffled. Ties as in ``ranking.best``. Without
+    ``gold``, ``signals`` has ``is_gold``.
     """
-    g = signals.join(gold.select("qid", "sidx", F.lit(1).alias("g")), ["qid", "sidx"], "left").withColumn("g", F.coalesce("g", F.lit(0)))
+    if gold is None:
+        g = signals.withColumn("g", F.col("is_gold"))
+    else:
+        g = signals.join(gold.select("qid", "sidx", F.lit(1).alias("g")), ["qid", "sidx"], "left").withColumn("g", F.coalesce("g", F.lit(0)))
     per = g.groupBy(*keys).agg(F.collect_list(F.struct("sidx", F.col(lexical).alias("l"), "g", *[F.col(c).alias(f"d_{n}") for n, c in dense.items()])).alias("c"))
 
     def swept(name):
@@ -31,7 +35,12 @@ def swept_hits(signals: DataFrame, gold: DataFrame, *keys: str, lexical: str = "
         return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda a: best(a)["g"])
 
     each = per.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), swept(n).alias("h")) for n in dense])).alias("e"))
-    return each.select(*keys, "e.signal", F.posexplode("e.h").alias("alpha_id", "hit"))
+    return each.select(*keys, "e.signal", "e.h")
+
+
+def swept_hits(signals: DataFrame, gold: DataFrame | None, *keys: str, lexical: str = "zb", steps: int = 20, **dense: str) -> DataFrame:
+    """``keys, signal, alpha_id, hit``: ``sweeps`` with a row for each weight."""
+    return sweeps(signals, gold, *keys, lexical=lexical, steps=steps, **dense).select(*keys, "signal", F.posexplode("h").alias("alpha_id", "hit"))
 
 
 def held_out_choice(hits: DataFrame, cluster: str = "conv", config: str = "config_id", *by: str) -> DataFrame:

@@ -112,11 +112,39 @@ class Corpus:
         both = self.bm25.join(self.pooled("max").select("qid", "sidx", "max"), ["qid", "sidx"])
         return cut(fusion.standardised(both, zb="bm", zd="max"), "signals")
 
+    def scored(self, early: bool = False) -> DataFrame:
+        """``qid, conv, sidx, bm, max, is_gold, zb, zd`` of all candidates, with ``early`` also ``early, ze``; not written.
+
+        Candidates, BM25, similarities and gold sessions meet in one partitioning by
+        question instead of in joins, and BM25 is a plan of its own, so that no plan
+        the driver holds is large. As in SQL a session number that a conversation has
+        twice is two candidates.
+        """
+        # all_questions has one row per qid, so its gold sessions need no distinct over rows
+        golds = F.array_distinct(F.filter(F.transform("gold_session_ids", src.gold_session), lambda s: s.isNotNull()))
+        asked = self.all_questions.withColumn("golds", golds).where(F.size("golds") > 0)
+        found = cut(lexical.matched_scores(asked, self.turns, self.sessions, tf=self.tf, hot=self.hot), "found")
+        sessions, pools = self.sessions, {"max": F.max}
+        if early:
+            sessions, pools = sessions.join(dense.vector_lengths(self.turn_vectors), ["conv", "sidx"], "left"), pools | {"total": F.sum}
+        own = salted_join(asked.select("qid", "conv"), sessions, ["conv"], F.col("qid"), self.hot).withColumn("copies", F.lit(1))
+        made = dense.pooled(dense.similarities(asked, self.query_vectors, self.turn_vectors, self.hot), pools)
+        right = asked.select("qid", "conv", F.explode("golds").alias("sidx"), F.lit(1).alias("is_gold"))
+        rows = own
+        for part in (found, made, right):
+            rows = rows.unionByName(part, allowMissingColumns=True)
+        held = ["bm", "max", "is_gold", *["total", "len", "t"] * early]
+        each = rows.repartition("qid").groupBy("qid", "conv", "sidx").agg(F.sum("copies").alias("copies"), *[F.max(c).alias(c) for c in held]).where("copies > 0")
+        filled = {"bm": F.coalesce("bm", F.lit(0.0)), "max": F.coalesce("max", F.lit(dense.MISSING)), "is_gold": F.coalesce("is_gold", F.lit(0))}
+        if early:
+            filled |= {"early": F.when(F.col("total").isNull() | (F.col("len") / F.col("t") <= 1e-9), dense.MISSING).otherwise(F.col("total") / F.col("len"))}
+        every = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("qid", "conv", "sidx", *[c.alias(n) for n, c in filled.items()])
+        return fusion.standardised(every, zb="bm", zd="max", **{"ze": "early"} if early else {})
+
     @cached_property
     def all_signals(self) -> DataFrame:
-        """``signals`` with ``early`` and its z-score ``ze``."""
-        both = self.bm25.join(self.pooled("max", "early").select("qid", "sidx", "max", "early"), ["qid", "sidx"])
-        return cut(fusion.standardised(both, zb="bm", zd="max", ze="early"), "signals")
+        """``signals`` with ``early`` and its z-score ``ze``, and ``is_gold``."""
+        return cut(self.scored(early=True), "signals")
 
     def fused(self, alpha: float | None = None) -> DataFrame:
         """``qid, conv, sidx, score`` at one weight."""

@@ -329,11 +329,13 @@ def _method_hits(c: Corpus, *methods: str) -> DataFrame:
     return ranking.hits(long, c.gold).select("qid", "conv", "method", "hit")
 
 
-def _held_out_hits(c: Corpus) -> DataFrame:
-    """``qid, conv, method, hit``: ``loco`` and ``loco_early`` fuse with the weight chosen on other conversations."""
-    swept = cut(selection.swept_hits(c.all_signals, c.gold, "qid", "conv", loco="zd", loco_early="ze"), "alpha")
-    choice = selection.held_out_choice(swept, "conv", "alpha_id", "signal").select("signal", "conv", "alpha_id")
-    return swept.join(choice, ["signal", "conv", "alpha_id"]).select("qid", "conv", F.col("signal").alias("method"), "hit")
+def _held_out_hits(c: Corpus, signals: DataFrame | None = None, **dense: str) -> DataFrame:
+    """``qid, conv, method, hit``: each ``method=column`` (``loco`` and ``loco_early`` without any) fuses with the weight chosen on other conversations."""
+    swept = cut(selection.sweeps(c.all_signals if signals is None else signals, None, "qid", "conv", **(dense or {"loco": "zd", "loco_early": "ze"})), "alpha")
+    for done in (c.tf, c.haystack):
+        drop(done)
+    choice = selection.held_out_choice(swept.select("signal", "conv", F.posexplode("h").alias("alpha_id", "hit")), "conv", "alpha_id", "signal").select("signal", "conv", "alpha_id")
+    return salted_join(swept, choice, ["conv", "signal"], F.col("qid"), c.hot).select("qid", "conv", F.col("signal").alias("method"), F.get("h", F.col("alpha_id")).alias("hit"))
 
 
 def _contrast(c: Corpus, a: str, b: str, hits: DataFrame | None = None) -> DataFrame:
@@ -371,7 +373,7 @@ def per_category(c: Corpus) -> DataFrame:
 
 @_query
 def loco_fusion_late_vs_early(c: Corpus) -> DataFrame:
-    return _contrast(c, "loco_early", "loco", _held_out_hits(c))
+    return _contrast(c, "loco_early", "loco", _held_out_hits(c, c.scored(early=True)))
 
 
 @_query
