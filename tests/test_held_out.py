@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from test_queries import DATA, RUN, SQL, duck, value  # noqa: F401
 from turnwise import scratch
-from turnwise.operators import fusion, ranking, selection
+from turnwise.operators import dense, fusion, ranking, selection
 from turnwise.plans import corpus, queries
 
 here = pytest.mark.skipif(not Path(DATA).exists(), reason="the test tables are not here")
@@ -80,3 +80,14 @@ def largest_plan(spark, monkeypatch):
 def test_no_plan_of_early_and_late_is_large(spark, largest_plan):
     RUN["loco_fusion_late_vs_early"](spark, str(DATA))
     assert 0 < largest_plan[0] < LARGE
+
+
+def without_early(*_):
+    raise AssertionError("early pooling is made, and nothing of the result uses it")
+
+
+@here
+def test_categories_need_no_early_pooling(spark, largest_plan, monkeypatch):
+    monkeypatch.setattr(dense, "vector_lengths", without_early)
+    assert RUN["loco_per_category"](spark, str(DATA)).count() > 1
+    assert 0 < largest_plan[0] < LARGE

@@ -314,11 +314,12 @@ def question_bootstrap(c: Corpus) -> DataFrame:
 _METHODS = ("bm25", "early", "late", "rrf", "weighted", "weighted_early")
 
 
-def _method_hits(c: Corpus, *methods: str) -> DataFrame:
+def _method_hits(c: Corpus, *methods: str, signals: DataFrame | None = None) -> DataFrame:
     """``qid, conv, method, hit`` of ``methods`` (all six without any) in one long relation."""
     methods = methods or _METHODS
-    early = any("early" in m for m in methods) or "all_signals" in c.__dict__
-    signals = c.all_signals if early else c.signals
+    early = any("early" in m for m in methods) or signals is None and "all_signals" in c.__dict__
+    if signals is None:
+        signals = c.all_signals if early else c.signals
     made = {"bm25": F.col("bm"), "late": F.col("max"), "rrf": fusion.reciprocal("bm") + fusion.reciprocal("max"), "weighted": fusion.weighted(c.params.alpha)}
     if early:
         made |= {"early": F.col("early"), "weighted_early": fusion.weighted(c.params.alpha, dense="ze")}
@@ -388,7 +389,8 @@ def loco_combiner_compare(c: Corpus) -> DataFrame:
 
 @_query
 def loco_per_category(c: Corpus) -> DataFrame:
-    hits = _method_hits(c).union(_held_out_hits(c))
+    signals = cut(c.scored(), "signals")
+    hits = _method_hits(c, "bm25", "late", signals=signals).union(_held_out_hits(c, signals, loco="zd"))
     wide = hits.groupBy("qid").pivot("method", ["bm25", "late", "loco"]).agg(F.max("hit")).join(c.questions.select("qid", "category"), "qid")
     d = analysis.by_category(wide, bm25="bm25", late="late", loco="loco")
     return d.select("category", "name", "n", _r("bm25"), _r("late"), _r("loco"), _r(100 * (F.col("loco") - F.col("bm25"))).alias("delta_pp"))
