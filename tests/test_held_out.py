@@ -93,6 +93,13 @@ def test_categories_need_no_early_pooling(spark, largest_plan, monkeypatch):
     assert 0 < largest_plan[0] < LARGE
 
 
+@here
+def test_fusion_against_late_needs_no_early_pooling(spark, largest_plan, monkeypatch):
+    monkeypatch.setattr(dense, "vector_lengths", without_early)
+    assert RUN["loco_fusion_vs_late"](spark, str(DATA)).count() == 1
+    assert 0 < largest_plan[0] < LARGE
+
+
 @here
 def test_no_plan_of_all_methods_is_large(spark, largest_plan):
     df = RUN["loco_combiner_compare"](spark, str(DATA))

@@ -379,7 +379,8 @@ def loco_fusion_late_vs_early(c: Corpus) -> DataFrame:
 
 @_query
 def loco_fusion_vs_late(c: Corpus) -> DataFrame:
-    return _contrast(c, "late", "loco", _held_out_hits(c).union(_method_hits(c, "late")))
+    signals = cut(c.scored(), "signals")
+    return _contrast(c, "late", "loco", _held_out_hits(c, signals, loco="zd").union(_method_hits(c, "late", signals=signals)))
 
 
 @_query
