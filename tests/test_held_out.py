@@ -105,3 +105,37 @@ def test_no_plan_of_all_methods_is_large(spark, largest_plan):
     df = RUN["loco_combiner_compare"](spark, str(DATA))
     assert df.count() == 8
     assert 0 < largest_plan[0] < LARGE
+
+
+@here
+def test_comparison_of_methods_writes_hits_and_no_signals(spark, monkeypatch):
+    names, written = [], scratch.cut
+
+    def named(df, name="t"):
+        names.append(name)
+        return written(df, name)
+
+    for module in (scratch, corpus, queries):
+        monkeypatch.setattr(module, "cut", named)
+    df = RUN["loco_combiner_compare"](spark, str(DATA))
+    lines = len(df._jdf.queryExecution().executedPlan().toString().split("\n"))
+    assert "signals" not in names and "hits" in names
+    assert lines < 55, "the plan of the result is sums of hits alone"
+
+
+def test_compared_methods_equal_windows(spark):
+    rows = [(q, q % 3, s, float((q * 7 + s * 5) % 4 - 1), float((q * 3 + s * 11) % 5 - 2), float((q + s * s) % 3), int(s == q % 6)) for q in range(40) for s in range(7)]
+    signals = spark.createDataFrame(rows, "qid long, conv long, sidx long, bm double, max double, early double, is_gold int")
+    signals = fusion.standardised(signals, zb="bm", zd="max", ze="early")
+    made = {"bm25": F.col("bm"), "early": F.col("early"), "late": F.col("max"), "rrf": fusion.reciprocal("bm") + fusion.reciprocal("max"), "weighted": fusion.weighted(0.6), "weighted_early": fusion.weighted(0.6, dense="ze")}
+    gold = signals.where("is_gold = 1").select("qid", "sidx")
+    want = {(r.qid, n, r.hit) for n, score in made.items() for r in ranking.hits(ranking.best(signals.withColumn("s", score), "s", "qid"), gold).collect()}
+    got = selection.compared(signals, 0.6, "qid", "conv")
+    assert {tuple(r) for r in got.select("qid", F.inline("fixed")).collect()} == want and len(want) == 240
+    sweeps = selection.sweeps(signals, None, "qid", "conv", loco="zd", loco_early="ze")
+    assert sorted(map(tuple, got.select("qid", "conv", F.inline("swept")).collect())) == sorted(map(tuple, sweeps.collect()))
+    each = sweeps.select("conv", "signal", F.posexplode("h").alias("alpha_id", "hit"))
+    sums = selection.cluster_sums(sweeps, "signal", "conv").select("signal", "conv", "n", F.posexplode("hits").alias("alpha_id", "hits"))
+    choices = [selection.held_out_choice(each, "conv", "alpha_id", "signal"), selection.choice_elsewhere(sums, "conv", "alpha_id", "signal")]
+    a, b = (sorted(map(tuple, x.select("signal", "conv", "alpha_id", "train_hits", "train_n", "hits", "n").collect())) for x in choices)
+    assert a == b and len(a) == 6

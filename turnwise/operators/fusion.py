@@ -36,6 +36,17 @@ def reciprocal(signal: str, k0: int = 60, *keys: str) -> Column:
     return 1.0 / (F.lit(k0) + rank_by(signal, *keys))
 
 
+def listed_reciprocal(c: str, first: str, second: str, k0: int = 60) -> Column:
+    """The candidates of a list (``sidx, g`` and both signals) as ``s, b, g``: the sum of ``reciprocal`` over both signals to 9 decimals, ``-sidx`` and ``g``.
+
+    A rank is the place in the sorted list, so ranks need no window over rows.
+    """
+    key = lambda x, signal: (-F.round(x[signal], 9)).alias("k")
+    by_first = F.sort_array(F.transform(c, lambda x: F.struct(key(x, first), x["sidx"].alias("sidx"), x[second].alias(second), x["g"].alias("g"))))
+    by_second = F.sort_array(F.transform(by_first, lambda x, i: F.struct(key(x, second), x["sidx"].alias("sidx"), (i + 1).alias("rk"), x["g"].alias("g"))))
+    return F.transform(by_second, lambda x, i: F.struct(F.round(1.0 / (F.lit(k0) + x["rk"]) + 1.0 / (F.lit(k0) + i + 1), 9).alias("s"), (-x["sidx"]).alias("b"), x["g"].alias("g")))
+
+
 def alphas(df: DataFrame, steps: int = 20) -> DataFrame:
     """``df`` once for each weight ``alpha_id / steps``."""
     return df.withColumn("alpha_id", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("alpha", F.col("alpha_id") / steps)

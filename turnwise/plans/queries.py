@@ -385,7 +385,15 @@ def loco_fusion_vs_late(c: Corpus) -> DataFrame:
 
 @_query
 def loco_combiner_compare(c: Corpus) -> DataFrame:
-    return _method_hits(c).union(_held_out_hits(c)).groupBy("method").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    """Of each question only the hits are written, not its signals; the rest are sums over conversations."""
+    scored = c.scored(early=True)
+    drop(c.tf)
+    hits = cut(selection.compared(scored, c.params.alpha, "qid", "conv"), "hits")
+    drop(c.haystack)
+    fixed = hits.select(F.inline("fixed")).groupBy("method").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    sums = cut(selection.cluster_sums(hits.select("conv", F.inline("swept")), "signal", "conv"), "sums")
+    choice = selection.choice_elsewhere(sums.select("signal", "conv", "n", F.posexplode("hits").alias("alpha_id", "hits")), "conv", "alpha_id", "signal")
+    return fixed.union(choice.groupBy(F.col("signal").alias("method")).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")))
 
 
 @_query
