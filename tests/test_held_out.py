@@ -139,3 +139,13 @@ def test_compared_methods_equal_windows(spark):
     choices = [selection.held_out_choice(each, "conv", "alpha_id", "signal"), selection.choice_elsewhere(sums, "conv", "alpha_id", "signal")]
     a, b = (sorted(map(tuple, x.select("signal", "conv", "alpha_id", "train_hits", "train_n", "hits", "n").collect())) for x in choices)
     assert a == b and len(a) == 6
+
+
+@here
+def test_turn_vectors_are_moved_once(spark):
+    c = corpus.Corpus(spark, str(DATA))
+    both = ["conv", "sidx", "tidx", "v"]
+    want = c.turn_vectors.where("conv is not null and sidx is not null").select(both).collect()
+    assert sorted(map(tuple, c.laid_vectors.select(both).collect())) == sorted(map(tuple, want)) and want
+    plan = dense.vector_lengths(c.laid_vectors)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2, "one shuffle for the latest rows, one to their conversation"

@@ -82,6 +82,12 @@ class Corpus:
         # one vector per place: the one with the smallest id
         return src.one_per(v, ["conv_idx", "sidx", "tidx"], "turn_id").select(F.col("conv_idx").alias("conv"), "sidx", "tidx", "v")
 
+    @property
+    def laid_vectors(self) -> DataFrame:
+        """``turn_vectors`` that have a conversation and a session, moved once: what joins them by conversation or sums them by session reads the same shuffle."""
+        v = src.vectors(self._table("locomo_turn_cache"), "turn_id", "turns_", "encoded_at", DIM, "conv_idx", "sidx", "tidx", by="conv_idx").where("conv_idx is not null and sidx is not null")
+        return src.one_per(v, ["conv_idx", "sidx", "tidx"], "turn_id").select(F.col("conv_idx").alias("conv"), "sidx", "tidx", "v")
+
     @property
     def query_vectors(self) -> DataFrame:
         return src.vectors(self._table("locomo_bge_cache"), "qid", "q_emb", "encoded_at", DIM)
@@ -124,11 +130,12 @@ class Corpus:
         golds = F.array_distinct(F.filter(F.transform("gold_session_ids", src.gold_session), lambda s: s.isNotNull()))
         asked = self.all_questions.withColumn("golds", golds).where(F.size("golds") > 0)
         found = cut(lexical.matched_scores(asked, self.turns, self.sessions, tf=self.tf, hot=self.hot), "found")
-        sessions, pools = self.sessions, {"max": F.max}
+        sessions, pools, vectors = self.sessions, {"max": F.max}, self.turn_vectors
         if early:
-            sessions, pools = sessions.join(dense.vector_lengths(self.turn_vectors), ["conv", "sidx"], "left"), pools | {"total": F.sum}
+            vectors = self.laid_vectors
+            sessions, pools = sessions.join(dense.vector_lengths(vectors), ["conv", "sidx"], "left"), pools | {"total": F.sum}
         own = salted_join(asked.select("qid", "conv"), sessions, ["conv"], F.col("qid"), self.hot).withColumn("copies", F.lit(1))
-        made = dense.pooled(dense.similarities(asked, self.query_vectors, self.turn_vectors, self.hot), pools)
+        made = dense.pooled(dense.similarities(asked, self.query_vectors, vectors, self.hot), pools)
         right = asked.select("qid", "conv", F.explode("golds").alias("sidx"), F.lit(1).alias("is_gold"))
         rows = own
         for part in (found, made, right):

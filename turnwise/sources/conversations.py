@@ -145,11 +145,13 @@ def smoke_stats(examples: DataFrame, gold: DataFrame) -> DataFrame:
     return per.groupBy("category").agg(F.count("*").alias("n"), F.sum((F.col("g") == 0).cast("long")).alias("empty_gold"), F.sum((F.col("g") > 1).cast("long")).alias("multi_session"))
 
 
-def vectors(rows: DataFrame, id: str, vector: str, time: str, dim: int, *keys: str) -> DataFrame:
-    """``id, keys, v``: the latest usable vector of each id, as unit vector of doubles."""
+def vectors(rows: DataFrame, id: str, vector: str, time: str, dim: int, *keys: str, by: str | None = None) -> DataFrame:
+    """``id, keys, v``: the latest usable vector of each id, as unit vector of doubles; with ``by`` they lie by that key, moved there as they are stored."""
     from turnwise.functions.vectors import unit, usable
 
     held = latest(rows.select(id, *keys, time, vector), id, time).where(usable(F.col(vector), dim))
+    if by:
+        held = held.repartition(by)
     return held.select(id, *keys, unit(F.col(vector)).alias("v"))
 
 
